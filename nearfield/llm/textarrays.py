@@ -63,9 +63,14 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without white space), and the first word of each row."""
-    solid = ~_SPACE[data]
+#: Bytes of a term: ASCII letters and digits, and all of other scripts.
+TERM = np.zeros(256, bool)
+TERM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, offsets: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without white space, or of the bytes ``within``), and the first word of each row."""
+    solid = ~_SPACE[data] if within is None else within[data]
     start = solid.copy()
     start[1:] &= ~solid[:-1]
     end = solid.copy()
