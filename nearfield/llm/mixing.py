@@ -51,25 +51,31 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return kept.select("source", "source_size", "weight", F.when(F.col("full"), F.col("most")).otherwise(F.least("most", level)).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, quality: DataFrame | None = None, quality_weights: tuple[float, float, float] = (0.25, 0.5, 1.0), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """What the mix takes of each document.
-
-    quality: (key, quality 0 or 1) of some documents; quality_weights: for 0, unknown and 1.
-    Returns key, size, source_size, target, taken, and the parts of taken: epochs (complete
-    repeats) and part (words of the fractional epoch).
-    """
+def placed(docs: DataFrame, quality: DataFrame | None, quality_weights: tuple[float, float, float], key: str, text: str, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, key, bin) of every row, and the columns ``keep``."""
     low, mid, high = quality_weights
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     if quality is None:
-        sized = sized.withColumn("worth", F.lit(mid))
+        worth, least = F.lit(mid), mid
     else:
         known = quality.groupBy(F.col(key).alias("doc_id")).agg(F.max("quality").alias("quality"))
-        sized = sized.join(known, "doc_id", "left").withColumn("worth", F.when(F.col("quality") == 0, low).when(F.col("quality") == 1, high).otherwise(mid)).drop("quality")
-    sized = sized.withColumn("key", -F.ln(uniform(F.col("doc_id"))) / F.col("worth"))
-    place = 1 - F.exp(-F.col("key") * F.lit(min(quality_weights)))
-    sized = sized.withColumn("bin", F.least(F.floor(place * FINE), F.lit(FINE - 1)).cast("int")).drop("worth")
-    sized = materialize(sized, "mix-sized")
+        sized = sized.join(known, "doc_id", "left")
+        worth, least = F.when(F.col("quality") == 0, low).when(F.col("quality") == 1, high).otherwise(mid), min(quality_weights)
+    sized = sized.withColumn("key", -F.ln(uniform(F.col("doc_id"))) / worth)
+    place = 1 - F.exp(-F.col("key") * F.lit(least))
+    return sized.withColumn("bin", F.least(F.floor(place * FINE), F.lit(FINE - 1)).cast("int")).select("doc_id", "source", "size", "key", "bin", *(f"kept_{c}" for c in keep))
+
 
+def _with_source(rows: DataFrame, of: DataFrame, n: int) -> DataFrame:
+    of = small_side(of.withColumnRenamed("source", "of"), n)
+    return rows.join(of, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
+
+
+def decide(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, int]:
+    """(source, source_size, target, epochs, rest, end_bin, before) of every source, and their number.
+
+    Keys in bins before end_bin are taken once more; in end_bin, where ``before`` words are ahead, as far as the rest goes.
+    """
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("epochs", epochs).withColumn("rest", (F.floor("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -82,25 +88,58 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         run = bins.withColumn("until", F.sum("words").over(upto) + F.col("before"))
         return run.filter((F.col("until") >= F.col("rest")) & (F.col("until") - F.col("words") < F.col("rest"))).select("source", "rest", F.col(width), (F.col("until") - F.col("words")).alias("before"))
 
-    def with_source(rows: DataFrame, of: DataFrame) -> DataFrame:
-        of = small_side(of.withColumnRenamed("source", "of"), n)
-        return rows.join(of, F.col("source").eqNullSafe(F.col("of")), "inner").drop("of")
-
     coarse = sized.groupBy("source", F.shiftright("bin", 8).alias("coarse")).agg(F.sum("size").alias("words"))
-    coarse = with_source(coarse, plan.select("source", "rest")).withColumn("before", F.lit(0).cast("long"))
+    coarse = _with_source(coarse, plan.select("source", "rest"), n).withColumn("before", F.lit(0).cast("long"))
     found = materialize(ends(coarse, "coarse"), "mix-coarse")
-    fine = with_source(sized, found).filter(F.shiftright("bin", 8) == F.col("coarse"))
+    fine = _with_source(sized, found, n).filter(F.shiftright("bin", 8) == F.col("coarse"))
     fine = fine.groupBy("source", "bin", "before", "rest").agg(F.sum("size").alias("words"))
     found = ends(fine, "bin").select(F.col("source").alias("of"), F.col("bin").alias("end_bin"), "before")
-    plan = materialize(plan.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "mix-ends")
+    return materialize(plan.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "weight"), "mix-ends"), n
+
 
-    rows = with_source(sized, plan)
-    whole = rows.filter(F.coalesce(F.col("bin") != F.col("end_bin"), F.lit(True))).withColumn("part", F.when(F.col("bin") < F.col("end_bin"), F.col("size")).otherwise(0))
+def at_end(rows: DataFrame) -> DataFrame:
+    """``part`` of the rows of decide() and placed() in each source's end_bin, the only ones that are sorted."""
     order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
     last = rows.filter(F.col("bin") == F.col("end_bin")).withColumn("ahead", F.sum("size").over(order) - F.col("size") + F.col("before"))
-    last = last.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("ahead")))).drop("ahead")
+    return last.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("ahead"))).cast("long")).drop("ahead")
+
+
+def _elsewhere(rows: DataFrame) -> DataFrame:
+    rows = rows.filter(F.coalesce(F.col("bin") != F.col("end_bin"), F.lit(True)))
+    return rows.withColumn("part", F.when(F.col("bin") < F.col("end_bin"), F.col("size")).otherwise(0).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, quality: DataFrame | None = None, quality_weights: tuple[float, float, float] = (0.25, 0.5, 1.0), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """What the mix takes of each document.
+
+    quality: (key, quality 0 or 1) of some documents; quality_weights: for 0, unknown and 1.
+    Returns key, size, source_size, target, taken, and the parts of taken: epochs (complete
+    repeats) and part (words of the fractional epoch).
+    """
+    sized = materialize(placed(docs, quality, quality_weights, key, text, source), "mix-sized")
+    rows = _with_source(sized, *decide(sized, weights, share, cap))
     taken = F.col("epochs") * F.col("size") + F.col("part")
-    return whole.unionByName(last).select(F.col("doc_id").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"), "epochs", F.col("part").cast("long").alias("part"))
+    return _elsewhere(rows).unionByName(at_end(rows)).select(F.col("doc_id").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"), "epochs", "part")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, in the same columns.
+
+    A document of which the budget takes a part is cut after so many words (joined by single
+    spaces), and ``length`` is counted anew. Texts aren't shuffled.
+    """
+    mid = (0.25, 0.5, 1.0)
+    sized = materialize(placed(docs, None, mid, key, text, source), "mix-sized")
+    plan, n = decide(sized, weights, share, cap)
+    rows = _with_source(placed(docs, None, mid, key, text, source, tuple(docs.columns)), plan, n)
+    both = _elsewhere(rows).unionByName(at_end(rows))
+    copies = both.withColumn("words", F.explode(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>")))))
+    cut = F.col("words") < F.col("size")
+    short = F.array_join(F.slice(F.regexp_extract_all(f"kept_{text}", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")), " ")
+    copies = copies.withColumn(f"kept_{text}", F.when(cut, short).otherwise(F.col(f"kept_{text}")))
+    if length in docs.columns:
+        copies = copies.withColumn(f"kept_{length}", F.when(cut, F.char_length(f"kept_{text}")).otherwise(F.col(f"kept_{length}")).cast(docs.schema[length].dataType))
+    return copies.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns))
 
 
 #: The same rows in DuckDB's SQL, with plain windows.

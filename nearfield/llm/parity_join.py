@@ -341,3 +341,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
     named = materialize(groups.select("cid", "root").join(roots, "root").select("cid", "component_id"), "join-named")
     out = own.join(named, "cid", "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those whose group has a smaller key, in the same columns.
+
+    Of rows that repeat both key and text one stays; rows without a key stay.
+    """
+    found = materialize(join(docs, key, text, **options).select(F.col(key).alias("of"), "component_id"), "join-found")
+    gone = found.filter("of != component_id").select("of").distinct()
+    twice = found.filter("of is not null").groupBy("of").count().filter("count > 1").select("of")
+    left = docs.join(small_side(gone), F.col(key) == F.col("of"), "left_anti")
+    if twice.isEmpty():
+        return left
+    twice = small_side(twice)
+    return left.join(twice, F.col(key) == F.col("of"), "left_anti").unionByName(left.join(twice, F.col(key) == F.col("of"), "left_semi").dropDuplicates([key, text]))

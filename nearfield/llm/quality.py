@@ -147,8 +147,8 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
 _COLUMNS = ("text", "n_chars", "lang", "source")
 
 
-def _views_of(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    got = list(views(*ta.buffers(batch.column(at)), *(batch.column(at + k).to_pylist() for k in range(1, 4))))
+def _views_of(batch: pa.RecordBatch, at: tuple[int, int, int, int] = (1, 2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
+    got = list(views(*ta.buffers(batch.column(at[0])), *(batch.column(k).to_pylist() for k in at[1:])))
     if not got:
         return np.zeros((0, TEXT)), np.zeros((0, PAGE))
     return np.stack([g[0] for g in got]), np.stack([g[1] for g in got])
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
 
     def run(batches):
         for batch in batches:
-            a, b = _views_of(batch, 1)
+            a, b = _views_of(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())], ["y", "a", "b"])
 
     got = sorted((r.y, bytes(r.a), bytes(r.b)) for r in marked.unionByName(some).mapInArrow(run, "y int, a binary, b binary").collect())
@@ -186,7 +186,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     def run(batches):
         own = sent.value
         for batch in batches:
-            p = own.score(list(_views_of(batch, 1))) if batch.num_rows else np.zeros(0)
+            p = own.score(list(_views_of(batch))) if batch.num_rows else np.zeros(0)
             _, offsets = ta.buffers(batch.column(1))
             p = np.where(np.diff(offsets) > 0, p, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((p >= own.bar) & (np.diff(offsets) > 0)), pa.array(p)], [key, "keep", "score"])
@@ -196,3 +196,17 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", **options) -> DataFrame:
     return predict(docs, fit(docs, labels, key, label, **options), key)
+
+
+def kept_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, in the same columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), tuple(docs.columns.index(c) for c in _COLUMNS)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                _, offsets = ta.buffers(batch.column(at[0]))
+                yield batch.filter(pa.array((own.score(list(_views_of(batch, at))) >= own.bar) & (np.diff(offsets) > 0)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +53,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_token_counts, op3_mix_sources, op4_ngram_jaccard_join, op5_bpe, op6_language_id, op7_toxicity, op8_quality, op9_winnowing, op10_media_columns)}
+    ops = (op1_html_extraction, op2_token_counts, op3_mix_sources, op4_ngram_jaccard_join, op5_bpe, op6_language_id, op7_toxicity, op8_quality, op9_winnowing, op10_media_columns)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

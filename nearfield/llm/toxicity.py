@@ -5,14 +5,15 @@ of the text and on the probabilities of all earlier categories; when it is train
 probabilities are out-of-fold predictions, so that it learns what earlier models are worth on
 texts they haven't seen. The last category is the decision.
 
-Terms are runs of letters and digits, lower-cased and hashed to 64 bits. The vocabulary is the
-``terms`` hashes that tell the last category's classes apart best (log-likelihood ratio of document
+Terms are runs of letters and digits, lower-cased and hashed to 64 bits, and the beginnings of
+longer ones (``PREFIXES`` bytes), so that a stem is known with endings it wasn't seen with. The
+vocabulary is the ``terms`` hashes that tell the last category's classes apart best (log-likelihood ratio of document
 counts); a document is the set of vocabulary terms that it has, and how dense they are. Training
 uses a bounded sample (``cap`` rows of each class, by hash); every whole text is scored.
 
 Where only one label is known, earlier categories are derived from it (see ``derived``): texts of
-the class that have several of the class's strongest terms (``hostile``), and texts in which these
-are at least a hundredth of all terms (``dense``).
+the class that have several of the class's strongest terms (``hostile``), and texts with at
+least one of these in a hundred words (``dense``).
 
 Defined cases: null or empty text has no terms and gets the model's prior; null labels are not
 used; a key with several labels counts as toxic if one says so; without rows of both classes no
@@ -31,14 +32,29 @@ from . import textarrays as ta
 from .common import slices, small_side
 
 
-def term_sets(data: np.ndarray, offsets: np.ndarray):
-    """(distinct term hashes, how often each occurs) of each row."""
+PREFIXES = (4, 5, 6)
+
+
+def term_sets(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None):
+    """(distinct term hashes, how often each occurs, number of words) of each row; only the terms ``wanted`` (sorted) if given."""
     for first, last in slices(offsets, ta.SLICE):
         part, at = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         starts, ends, heads = ta.words(part, at, ta.TERM)
-        h = ta.run_hashes(part, starts, ends, lower=True)
-        for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
-            yield np.unique(h[a:b], return_counts=True)
+        row = np.repeat(np.arange(last - first), np.diff(heads))
+        terms, rows = [ta.run_hashes(part, starts, ends, lower=True)], [row]
+        for n in PREFIXES:
+            longer = ends - starts > n
+            terms.append(ta.mix(ta.run_hashes(part, starts[longer], starts[longer] + n, lower=True) ^ np.uint64(n)))
+            rows.append(row[longer])
+        terms, rows = np.concatenate(terms), np.concatenate(rows)
+        if wanted is not None:
+            known = wanted[np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)] == terms if len(wanted) else np.zeros(len(terms), bool)
+            terms, rows = terms[known], rows[known]
+        order = np.argsort(rows, kind="stable")
+        ends_at = np.searchsorted(rows[order], np.arange(last - first + 1))
+        terms = terms[order]
+        for i, (a, b) in enumerate(zip(ends_at[:-1].tolist(), ends_at[1:].tolist(), strict=True)):
+            yield *np.unique(terms[a:b], return_counts=True), int(heads[i + 1] - heads[i])
 
 
 def vocabulary(sets: list[np.ndarray], y: np.ndarray, terms: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -65,15 +81,15 @@ class Chain:
     def __init__(self, words: np.ndarray, strong: np.ndarray, order: list[str], models: list[np.ndarray], bar: float):
         self.words, self.strong, self.order, self.models, self.bar = words, strong, order, models, bar
 
-    def features(self, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def features(self, found: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
         """Presence of each vocabulary term, then the log of the strong terms' density."""
-        terms, n = found
+        terms, n, words = found
         x = np.zeros(len(self.words) + 1)
         if len(self.words) and len(terms):
             at = np.minimum(np.searchsorted(self.words, terms), len(self.words) - 1)
             hit = self.words[at] == terms
             x[at[hit]] = 1
-            x[-1] = np.log1p(1000 * n[hit][self.strong[at[hit]]].sum() / n.sum())
+            x[-1] = np.log1p(1000 * n[hit][self.strong[at[hit]]].sum() / max(words, 1))
         return x
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
@@ -109,16 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(batches):
         for batch in batches:
             sets = list(term_sets(*ta.buffers(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _ in sets], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in sets], pa.binary())], ["y", "terms", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _, _ in sets], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n, _ in sets], pa.binary()), pa.array([w for _, _, w in sets], pa.int64())], ["y", "terms", "n", "words"])
 
-    got = sorted((r.y, bytes(r.terms), bytes(r.n)) for r in rows.mapInArrow(run, "y int, terms binary, n binary").collect())
+    got = sorted((r.y, bytes(r.terms), bytes(r.n), r.words) for r in rows.mapInArrow(run, "y int, terms binary, n binary, words long").collect())
     y = np.array([g[0] for g in got], float)
-    found = [(np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32)) for _, t, n in got]
+    found = [(np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32), w) for _, t, n, w in got]
     order = ["hostile", "dense", label]
     none = Chain(np.zeros(0, np.uint64), np.zeros(0, bool), order, [np.array([0.0] * (k + 1) + [-8.0]) for k in range(3)], 0.5)
     if not 0 < y.sum() < len(y) or len(y) < 20:
         return none
-    words, strong = vocabulary([t for t, _ in found], y, terms)
+    words, strong = vocabulary([t for t, _, _ in found], y, terms)
     chain = Chain(words, strong, order, [], 0.5)
     x = np.stack([chain.features(f) for f in found])
     categories = derived(x, strong, y)
@@ -139,7 +155,7 @@ def predict(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "tex
     def run(batches):
         own = sent.value
         for batch in batches:
-            x = np.stack([own.features(f) for f in term_sets(*ta.buffers(batch.column(1)))]) if batch.num_rows else np.zeros((0, len(own.words) + 1))
+            x = np.stack([own.features(f) for f in term_sets(*ta.buffers(batch.column(1)), own.words)]) if batch.num_rows else np.zeros((0, len(own.words) + 1))
             p = own.probabilities(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p[:, -1] >= own.bar), pa.array(p[:, -1]), *(pa.array(p[:, k]) for k in range(len(early)))], [key, "is_toxic", "score", *early])
 
@@ -148,3 +164,17 @@ def predict(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "tex
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", **options) -> DataFrame:
     return predict(docs, fit(docs, labels, key, text, label, **options), key, text)
+
+
+def clean_rows(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't toxic, in the same columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(chain), docs.columns.index(text)
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([own.features(f) for f in term_sets(*ta.buffers(batch.column(at)), own.words)])
+                yield batch.filter(pa.array(own.probabilities(x)[:, -1] < own.bar))
+
+    return docs.mapInArrow(run, docs.schema)

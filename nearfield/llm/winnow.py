@@ -8,12 +8,14 @@ A hash and its position are packed in one long (39 bits of hash, then the positi
 from 2^24 - 1), so that the least long of a window is the least hash at its rightmost place.
 Places beyond 2^24 - 1 words all count as that one.
 
+Next documents are found in one shuffle: rows are dealt out by ranges of keys, and the first row of
+each range is also sent, as a guest, to the range before, so every row's follower is in its range.
+
 Defined cases: null text is empty; an empty text has an empty fingerprint; a text with fewer than
 k words is one gram, with fewer than ``window`` grams one window. Likeness is the Jaccard index of
-the sets of kept hashes; equal fingerprints (empty ones too) have likeness 1. The next document
-is the one with the next greater key; of rows that share a key, each has the same next
-document, and as next document the first by text hash stands for them. Rows with a null key have
-no next document (an empty text stands in).
+the sets of kept hashes; equal fingerprints (empty ones too) have likeness 1. Rows that share a
+key are documents of their own and follow each other in the order of their text's hash; a single
+row follows itself. Rows with a null key have no next document (an empty text stands in).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, partitions
+from .common import WORD, partitions
 
 K, WINDOW = 5, 16
 PLACE_BITS = 24
@@ -73,17 +75,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """Distinct non-null ``doc_id`` with ``next_id``, cyclic, without a sort of all rows in one task.
+def range_starts(ids: DataFrame, ranges: int) -> list[int]:
+    """The least id of each of about ``ranges`` even ranges: one number per range comes to the driver."""
+    spread = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("range")).agg(F.min("doc_id").alias("first"))
+    return sorted(r["first"] for r in spread.select("first").collect())
 
-    Ids are dealt out by range; within a range the next row is the next id, and a table with one row per range joins the ends.
-    """
-    spread = ids.repartitionByRange(partitions(ids.sparkSession), "doc_id").withColumn("range", F.spark_partition_id())
-    spread = materialize(spread, "winnow-ranges")
-    firsts = spread.groupBy("range").agg(F.min("doc_id").alias("first"))
-    ahead = Window.orderBy("range")
-    firsts = firsts.select("range", F.coalesce(F.lead("first").over(ahead), F.first("first").over(ahead.rowsBetween(Window.unboundedPreceding, 0))).alias("next_first"))
-    return spread.join(firsts, "range").withColumn("next_id", F.coalesce(F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")), F.col("next_first"))).drop("range", "next_first")
+
+def range_of(key: Column, starts: list[int]) -> Column:
+    """The place of the last start that isn't after the key, by bisection."""
+    bounds = F.lit(starts)
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(max(len(starts) - 1, 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step) <= key, F.lit(False)), at + step).otherwise(at))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,22 +100,24 @@ def compare_with_edited(docs: DataFrame, key: str = "doc_id", text: str = "text"
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    half = F.floor(F.char_length("text") / 2).cast("int")
-    packed = rows.withColumn("packed", kept(F.col("text"))).select("doc_id", "text", digest(F.col("packed")).alias("fingerprint"), hashes(F.col("packed")).alias("hashes"))
-
-    ids = rows.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(half).alias("need"))
-    link = following(materialize(ids, "winnow-ids"))
-    # both joins read the same exchange of packed rows by doc_id
-    base = packed.filter(F.col("doc_id").isNotNull())
-    same = Window.partitionBy("next_of").orderBy("next_print", F.xxhash64("next_text"))
-    heads = base.select(F.col("doc_id").alias("next_of"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"), F.col("hashes").alias("next_hashes"))
-    heads = heads.withColumn("other", F.lag("next_of").over(same)).filter(F.col("other").isNull())
-    heads = link.join(heads.hint("shuffle_merge"), F.col("next_id") == F.col("next_of")).select(F.col("doc_id").alias("of"), F.expr("substring(next_text, 1, need)").alias("head"), "next_print", "next_hashes")
-    joined = base.join(heads.hint("shuffle_merge"), F.col("doc_id") == F.col("of"), "left").drop("of")
-    alone = packed.filter(F.col("doc_id").isNull()).select("*", F.lit("").alias("head"), F.md5(F.lit("")).alias("next_print"), F.array().cast("array<int>").alias("next_hashes"))
-    both = joined.unionByName(alone).withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", half)
-    both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - half), substring(head, 1, half))"))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_packed", kept(F.col("edited"))).drop("text", "edited", "head")
+    deal = 8 * partitions(docs.sparkSession)
+    starts = range_starts(rows.select("doc_id").filter("doc_id is not null"), deal) or [0]
+    at = range_of(F.col("doc_id"), starts)
+    placed = rows.withColumn("at", at).withColumn("first", F.get(F.lit(starts), F.col("at")) == F.col("doc_id"))
+    real, guest, unkeyed = 0, 1, 2
+    seat = lambda range_, kind: F.struct(range_.cast("int").alias("range"), F.lit(kind).alias("kind"))
+    seats = F.when(F.col("doc_id").isNull(), F.array(seat(F.pmod(F.xxhash64("text"), F.lit(len(starts))), unkeyed)))
+    seats = seats.when(F.col("first"), F.array(seat(F.col("at"), real), seat(F.pmod(F.col("at") - 1, F.lit(len(starts))), guest))).otherwise(F.array(seat(F.col("at"), real)))
+    placed = placed.select("doc_id", "text", F.inline(seats)).repartition(partitions(docs.sparkSession), "range")
+
+    packed = placed.withColumn("packed", kept(F.col("text"))).withColumn("fingerprint", digest(F.col("packed"))).withColumn("hashes", hashes(F.col("packed"))).drop("packed")
+    order = Window.partitionBy("range").orderBy("kind", "doc_id", F.xxhash64("text"))
+    led = packed.withColumn("next", F.lead(F.struct("text", "hashes", "fingerprint")).over(order)).filter(F.col("kind") != guest)
+    nothing = F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("hashes"), F.md5(F.lit("")).alias("fingerprint"))
+    led = led.withColumn("next", F.when(F.col("kind") == real, F.col("next")).otherwise(nothing))
+    both = led.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("half", F.floor(F.char_length("text") / 2).cast("int"))
+    both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - half), substring(next.text, 1, half))"))
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("edited_packed", kept(F.col("edited")))
     both = both.withColumn("edited_fingerprint", digest(F.col("edited_packed"))).withColumn("edited_hashes", hashes(F.col("edited_packed")))
     near = lambda mark, set_: F.when(F.col("fingerprint") == F.col(mark), 1.0).otherwise(likeness(F.col("hashes"), F.col(set_)))
-    return both.select(F.col("doc_id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint", "edited_hashes").alias("near_edited"), near("next_print", "next_hashes").alias("near_next"))
+    return both.select(F.col("doc_id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint", "edited_hashes").alias("near_edited"), near("next.fingerprint", "next.hashes").alias("near_next"))
