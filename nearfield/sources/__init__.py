@@ -1 +1 @@
-
+"""Readers and writers of vector and label files."""
