@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as dist
 from ..functions import quantize
-from ..operators import filters, graph, ivf, kmeans, knn, label_index, linkage, spectral, stats, topk
+from ..operators import filters, graph, ivf, kmeans, knn, label_index, linkage, sharded, spectral, stats, topk
 from ..tables import written
 from . import measure
 
@@ -393,6 +393,22 @@ def graph_search(spark, sf_dir):
     return rounded(graph.search(rows, graph.build(rows, 32, 64, "exact"), asked(spark, sf_dir), K, itopk=128, width=8, seeds=128), "distance")
 
 
+@query(top_sql(sq()))
+def graph_sharded_search(spark, sf_dir):
+    """Graphs of bounded shards, searched in one pass."""
+    rows = vectors(spark, sf_dir).select(F.lit(0).alias("label"), "vec_id", F.col("embedding").alias("v"))
+    shards = written(sharded.pack(rows, 32, 64), "shards")
+    return rounded(sharded.search(shards, asked(spark, sf_dir).withColumn("label", F.lit(0)), K, 128, 8), "distance")
+
+
+@query(_LABEL_TRUTH)
+def graph_label_beam(spark, sf_dir):
+    """Beam search by joins over the edge tables of the labels' graphs."""
+    rows = label_index.invert(labelled(spark, sf_dir))
+    edges = written(graph.label_graphs(rows, 16), "label-edges")
+    return rounded(graph.label_beam_search(rows, edges, asked(spark, sf_dir), K, 128, 16), "distance")
+
+
 @query()
 def graph_nn_descent(spark, sf_dir):
     """(recall) of the descent's lists against the exact graph."""
