@@ -62,7 +62,8 @@ def test_cache_starts_anew_when_full(reference):
         small = bpe.Codec(f.read())
     small.KEPT = 10
     r = random.Random(2)
-    check(small, reference, [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(50)) for _ in range(30)])
+    for _ in range(30):
+        check(small, reference, [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(50))])
     assert len(small.slots) <= 60
 
 

@@ -85,8 +85,8 @@ def test_mixed_rows(spark):
     decided = {r.doc_id: r for r in mixing.mix(docs).collect()}
     made = {}
     for r in mixing.mixed_rows(docs).collect():
-        assert r.n_chars == len(r.text)
-        made.setdefault(r.doc_id, []).append(len(r.text.split()))
+        assert r.n_chars == len(r.text or "")
+        made.setdefault(r.doc_id, []).append(len((r.text or "").split()))
     for k, r in decided.items():
         assert sum(made.get(k, [])) == r.taken
         assert sorted(made.get(k, [])) == sorted([r["size"]] * r.epochs + ([r.part] if r.part else [])) or r["size"] == 0
