@@ -35,7 +35,7 @@ def label_bitmap(queries: DataFrame, data: DataFrame, query_label: str = "query_
 
 def last_valid_label(query_labels: Column, n_labels: int) -> Column:
     """Of a query's label list, the last label in range decides (later rows overwrite earlier ones)."""
-    return F.element_at(F.filter(query_labels, lambda x: (x >= 0) & (x < n_labels)), -1)
+    return F.try_element_at(F.filter(query_labels, lambda x: (x >= 0) & (x < n_labels)), F.lit(-1))
 
 
 def valid_candidates(candidates: DataFrame, data: DataFrame, key: str = "vec_id") -> DataFrame:

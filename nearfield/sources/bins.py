@@ -44,6 +44,10 @@ class _File:
         return self.fs.getFileStatus(self.path).getLen()
 
     def write(self, chunks) -> None:
+        self.fs.setWriteChecksum(False)  # a plain file, as other tools write it
+        side = self.path.getParent().suffix(f"/.{self.path.getName()}.crc")
+        if self.fs.exists(side):
+            self.fs.delete(side, False)
         stream = self.fs.create(self.path, True)
         try:
             for chunk in chunks:

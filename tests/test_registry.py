@@ -12,7 +12,7 @@ def values(rows):
     def plain(x):
         if hasattr(x, "__len__") and not isinstance(x, str):
             return tuple(plain(y) for y in x)
-        return round(float(x), 5) if isinstance(x, float) else x
+        return round(float(x), 5) if isinstance(x, float) else int(x) if hasattr(x, "item") else x
 
     return sorted(str(tuple(plain(x) for x in r)) for r in rows)
 
