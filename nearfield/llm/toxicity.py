@@ -116,7 +116,7 @@ def train(x: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
     return models
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", cap: int = 4000, terms: int = 256) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", cap: int = 2500, terms: int = 256) -> Chain:
     """A chain from the labelled rows; cap: rows of each class that are used at most (about)."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.max(F.col(label).cast("int")).alias("y"))
     picked = linear.bounded_sample(known, "y", "of", cap)
