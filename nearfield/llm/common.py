@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import written as materialize
+
+__all__ = ["WORD", "materialize", "partitions", "read", "slices", "small_side"]
+
 #: White space of the word rule: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 200_000
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Where it is unset (tests on one machine) a temporary folder takes its place.
-    """
-    global _own_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _own_dir = tempfile.mkdtemp(prefix="nearfield-")
-    return _own_dir
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the written table.
-
-    This cuts the lineage: an executor that is lost later costs a read, not a recomputation.
-    The cluster's usual cleaning of ``spark.checkpoint.dir`` removes the files.
-    """
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has few (narrow) rows, else as it is (shuffle join)."""

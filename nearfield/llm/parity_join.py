@@ -11,17 +11,22 @@ rare ones first, so that passages which many documents share are hardly ever ind
 
 Candidates share a chunk. The links found are exact, the components too:
 
-1. Each set is tried against the one leader (least id of a chunk) it shares most chunks with.
-2. Chunks whose sets are still in several components are searched pair by pair, in blocks, by
-   the Hamming distance of their sketches; only pairs of different components that can be linked
-   are verified. Pairs inside a component change nothing and are not made.
+1. Small chunks give all their pairs, larger ones each set with the first and with the one before it.
+   Of these partners each set is tried against the few that are closest by Hamming distance.
+2. The other pairs of step 1 are verified if their sets are in different components (inside a
+   component a pair changes nothing); then, of the larger chunks, each set's pair with the
+   closest set of another component.
+3. Last, all pairs of larger chunks that are still in different components, searched in blocks.
+
+In all steps only pairs that can be linked by the Hamming distance of their dense sketches are
+verified on the sets themselves.
 
 Texts with the same set are one class from the start, so copies are never expanded into pairs.
 
 A set of n differs in at most n/3 shingles from a partner (threshold 3/4) and has at least n
 chunks, of which 0.63 n or more are non-empty on average; that fewer than n/3 + 1 are has a
-probability below 1e-12 a document (small sets have 2^30 chunks). Hashes have 64 bits, as have
-the ids of classes.
+probability below 1e-12 a document (small sets have 2^30 chunks). Shingle hashes have 64 bits;
+a class's id has 57 bits of hash and its size class.
 
 Defined cases: null or empty text has no shingles and is linked with nothing; a text with fewer
 words than a shingle is one shingle; rows that repeat a key are each looked at, and all of them
@@ -33,14 +38,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .common import materialize, partitions, small_side, slices
 
 U = np.uint64
-SLOTS = 1 << 18  # of the count of chunks: 2 MB, whatever the input
+SLOTS = 1 << 20  # of the count of chunks: 4 MB, whatever the input
+SMALL = 16  # classes of a chunk that is searched by all its pairs
+BLOCK = 2048  # classes of a chunk that are searched at once
+FIRST = 3  # partners that a set is tried against before the open chunks are searched
 _SALT = ta.mix(np.arange(1, 65, dtype=np.uint64) * U(0xD1B54A32D192ED03)) | U(1)
 
 
@@ -65,11 +73,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5):
                 yield np.zeros(0, np.uint64)
 
 
-def class_id(shingles: np.ndarray) -> int:
-    """A signed 64-bit id of a set."""
+def size_steps(a: int, b: int, most: int = 1 << 40) -> np.ndarray:
+    """Starts of size classes so wide that partners are in the same or neighbouring ones."""
+    out = [1]
+    while out[-1] < most and len(out) < 127:
+        out.append(out[-1] * b // a + 1)
+    return np.array(out, np.int64)
+
+
+def class_id(shingles: np.ndarray, steps: np.ndarray) -> int:
+    """A signed 64-bit id of a set: a hash, its last 7 bits the size class."""
     mixed = ta.mix(shingles ^ U(0x5851F42D4C957F2D))
     folded = mixed.sum(keepdims=True) + np.bitwise_xor.reduce(mixed, keepdims=True) * _SALT[9] + U(len(shingles))
-    return int(ta.mix(folded).view(np.int64)[0])
+    return int((ta.mix(folded) & ~U(127) | U(np.searchsorted(steps, len(shingles), "right"))).view(np.int64)[0])
 
 
 def most_apart(n: int, m: int, a: int, b: int) -> int:
@@ -100,15 +116,29 @@ def elements(shingles: np.ndarray, band: int) -> np.ndarray:
     return (ta.mix(folded + chunk[heads] * _SALT[12] + _SALT[16 + band]) & ~U(15)) | U(band)
 
 
-def sketch(shingles: np.ndarray, band: int) -> np.ndarray:
-    """The dense sketch for Hamming distances: 8 bits for each chunk of the band, packed."""
-    bits = max(64, 4 ** (band + 1) * 8)
-    at, odd = np.unique((shingles >> U(64 - (bits.bit_length() - 1))).astype(np.int64), return_counts=True)
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The dense sketch for Hamming distances: two bits for each chunk of the set's own band (2,048 at least)."""
+    bits = 2 * 4 ** (max((len(shingles).bit_length() - 1) // 2, 4) + 1)
     out = np.zeros(bits, np.uint8)
-    out[at] = odd & 1
+    np.bitwise_xor.at(out, (shingles >> U(65 - bits.bit_length())).astype(np.int64), 1)
     return np.packbits(out)
 
 
+def apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Hamming distances of a sketch to the rows of an array of sketches; the wider ones are folded to the narrower width."""
+    while len(one) > many.shape[1]:
+        one = _folded(one[None])[0]
+    while many.shape[1] > len(one):
+        many = _folded(many)
+    return np.bitwise_count(many ^ one).sum(1, dtype=np.int64)
+
+
+def _folded(rows: np.ndarray) -> np.ndarray:
+    """Sketches of a quarter of the width: neighbours become one bit by parity."""
+    bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, 4)
+    return np.packbits(bits.sum(2, dtype=np.uint8) & 1, axis=1)
+
+
 def _text(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
@@ -116,22 +146,25 @@ def _text(docs: DataFrame, key: str, text: str) -> DataFrame:
 def classes(docs: DataFrame, a: int, b: int, k: int) -> DataFrame:
     """(doc_id, n, cid) of every row, and rows (block, counts) with how often chunks occur, by slot."""
 
+    steps = size_steps(a, b)
+
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             sizes, ids = [], []
             for s in shingle_sets(*ta.buffers(batch.column(1)), k):
                 sizes.append(len(s))
-                ids.append(class_id(s) if len(s) else None)
+                ids.append(class_id(s, steps) if len(s) else None)
                 for band in bands(len(s), a, b) if len(s) else ():
-                    np.add.at(counts, (elements(s, band) >> U(46)).astype(np.int64), 1)
+                    np.add.at(counts, (elements(s, band) >> U(44)).astype(np.int64), 1)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "cid", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         blocks = [x for x in range(0, SLOTS, SLOTS // 32) if counts[x : x + SLOTS // 32].any()]
         m = len(blocks)
         if m:
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x // (SLOTS // 32) for x in blocks], pa.int32()), pa.array([counts[x : x + SLOTS // 32].astype(np.uint32).tobytes() for x in blocks], pa.binary())], ["doc_id", "n", "cid", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x // (SLOTS // 32) for x in blocks], pa.int32()), pa.array([counts[x : x + SLOTS // 32].astype(np.uint32).tobytes() for x in blocks], pa.binary())], names)
 
+    names = ["doc_id", "n", "cid", "block", "counts"]
     return docs.mapInArrow(run, "doc_id long, n long, cid long, block int, counts binary")
 
 
@@ -154,12 +187,16 @@ def common_counts(parts: DataFrame) -> np.ndarray:
 
 
 def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -> DataFrame:
-    """(elem, cid, leader) for every indexed chunk that at least two classes share.
+    """What meets in the indexed chunks: pairs (x, y) of classes, and members (elem, x) of chunks with more than ``SMALL`` classes.
+
+    A small chunk gives all its pairs, a larger one its members, and as pairs only each member with
+    the first one and the one before it. Pairs of unfit sizes are left out at once; pairs are
+    distinct within a task's part.
 
     Codes travel as packed arrays, dealt out by code; a class is sent once by each task that has it.
     """
     spark = docs.sparkSession
-    parts = 8 * partitions(spark)
+    parts, steps = 8 * partitions(spark), size_steps(a, b)
     sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.uint32))
 
     def emit(codes, ids):
@@ -176,7 +213,7 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
         rank, seen, codes, ids, held = sent.value, set(), [], [], 0
         for batch in batches:
             for s in shingle_sets(*ta.buffers(batch.column(1)), k):
-                if not len(s) or (cid := class_id(s)) in seen:
+                if not len(s) or (cid := class_id(s, steps)) in seen:
                     continue
                 if len(seen) >= 200_000:
                     seen.clear()
@@ -184,11 +221,11 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
                 need = reach(len(s), a, b) + 1
                 for band in bands(len(s), a, b):
                     e = elements(s, band)
-                    order = np.argsort((rank[(e >> U(46)).astype(np.int64)].astype(np.uint64) << U(40)) | (e >> U(24)), kind="stable")[:need]
+                    order = np.argsort((rank[(e >> U(44)).astype(np.int64)].astype(np.uint64) << U(40)) | (e >> U(24)), kind="stable")[:need]
                     codes.append(e[order])
                     ids.append(np.full(len(order), cid, np.int64))
                     held += len(order)
-                if held >= 1 << 20:
+                if held >= 1 << 19:
                     yield from emit(codes, ids)
                     codes, ids, held = [], [], 0
         if codes:
@@ -197,22 +234,34 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
     def meet(table: pa.Table) -> pa.Table:
         codes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("codes")])
         ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")])
-        order = np.lexsort((ids, codes))
+        order = np.lexsort((ids, ids & 127, codes))  # by size class within a chunk
         codes, ids = codes[order], ids[order]
         fresh = np.append(True, (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1]))
         codes, ids = codes[fresh], ids[fresh]
         heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         sizes = np.diff(np.append(heads, len(codes)))
-        many = np.repeat(sizes > 1, sizes)
-        leader = np.repeat(ids[heads], sizes)
-        return pa.table([pa.array(codes[many].view(np.int64)), pa.array(ids[many]), pa.array(leader[many])], ["elem", "cid", "leader"])
+        pairs = [np.zeros((2, 0), np.int64)]
+        for size in range(2, SMALL + 1):
+            own = ids[heads[sizes == size][:, None] + np.arange(size)]
+            one, two = np.triu_indices(size, 1)
+            pairs.append(np.stack([own[:, one].ravel(), own[:, two].ravel()]))
+        many = np.repeat(sizes > SMALL, sizes)
+        first, at = np.repeat(ids[heads], sizes), np.arange(len(ids))
+        later = many & (at != np.repeat(heads, sizes))
+        pairs += [np.stack([first[later], ids[later]]), np.stack([ids[at[later] - 1], ids[later]])]
+        pairs = np.concatenate(pairs, 1)
+        pairs = np.sort(pairs[:, np.abs((pairs[0] & 127) - (pairs[1] & 127)) <= 1], axis=0)
+        pairs = np.unique(pairs, axis=1)
+        n, m = pairs.shape[1], int(many.sum())
+        columns = [pa.concat_arrays([pa.array(pairs[0]), pa.array(ids[many])]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(codes[many].view(np.int64))])]
+        return pa.table(columns, ["x", "y", "elem"])
 
     packed = docs.mapInArrow(index, "part int, codes binary, ids binary")
-    return packed.groupBy("part").applyInArrow(meet, "elem long, cid long, leader long")
+    return packed.groupBy("part").applyInArrow(meet, "x long, y long, elem long")
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(cid, n, hashes) of classes, from one text of each. needed: (doc_id, cid), one row a class.
+def sets_of(docs: DataFrame, needed: DataFrame, k: int, what: str, steps: np.ndarray) -> DataFrame:
+    """(cid, n, hashes or bits) of classes, from one text of each. needed: (of, cid), one row a class.
 
     doc_id may repeat in docs with other texts; only the text of the class counts. Classes whose
     rows all have a null key are looked up by class.
@@ -221,14 +270,14 @@ def sets_of(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             pairs = zip(batch.column(2).to_pylist(), shingle_sets(*ta.buffers(batch.column(1)), k), strict=True)
-            found = [(own, len(s), s.tobytes()) for cid, s in pairs if len(s) and (own := class_id(s)) == (own if cid is None else cid)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["cid", "n", "hashes"])
+            found = [(own, len(s), (s if what == "hashes" else sketch(s)).tobytes()) for cid, s in pairs if len(s) and (own := class_id(s, steps)) == (own if cid is None else cid)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["cid", "n", what])
 
-    schema = "cid long, n long, hashes binary"
+    schema = f"cid long, n long, {what} binary"
     rows = docs.join(small_side(needed.filter("of is not null")), F.col("doc_id") == F.col("of")).select("doc_id", "text", "cid")
     unkeyed = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("cid")).mapInArrow(run, schema)
     unkeyed = unkeyed.join(needed.filter("of is null").select("cid"), "cid", "left_semi")
-    return rows.mapInArrow(run, schema).unionByName(unkeyed).dropDuplicates(["cid"])
+    return rows.mapInArrow(run, schema).unionByName(unkeyed)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
@@ -265,43 +314,95 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return comp
 
 
-def cross_pairs(open_chunks: DataFrame, sets: DataFrame, a: int, b: int, block: int = 512) -> DataFrame:
+def likely(pairs: DataFrame, known: DataFrame, a: int, b: int) -> DataFrame:
+    """(x, y, apart) of pairs of classes that can be linked by size and Hamming distance; apart: over both sizes. known: (cid, n, bits)."""
+    def run(batches):
+        for batch in batches:
+            share = []
+            for n, m, s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                far = apart(np.frombuffer(s.as_buffer(), np.uint8), np.frombuffer(t.as_buffer(), np.uint8)[None])[0]
+                share.append(far / (n + m) if far <= most_apart(n, m, a, b) else None)
+            share = pa.array(share, pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(share.is_valid()) for c in (0, 1)), share.drop_null()], ["x", "y", "apart"])
+
+    left, right = (known.select(*(F.col(c).alias(f"{c}_{side}") for c in ("cid", "n", "bits"))) for side in "xy")
+    both = pairs.join(left, F.col("x") == F.col("cid_x")).join(right, F.col("y") == F.col("cid_y"))
+    both = both.filter((F.col("n_x") * b >= F.col("n_y") * a) & (F.col("n_y") * b >= F.col("n_x") * a))
+    return both.select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(run, "x long, y long, apart double")
+
+
+def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, closest: bool) -> DataFrame:
     """Pairs of classes that share a chunk, are in different components and can be linked by size and Hamming distance.
 
-    open_chunks: (elem, cid, comp). A chunk's classes are cut into blocks; each pair of blocks is one group.
+    closest: for each class outside a chunk's largest component the closest one only, else all.
+    open_chunks: (elem, cid, comp). A chunk with more than ``BLOCK`` classes is searched by size
+    class, each with the one below it. What is still larger is cut into blocks; each pair of
+    blocks is searched as one run of rows, whole runs in one task, many runs to a task.
     """
-    sizes = open_chunks.groupBy("elem").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = open_chunks.join(sizes, "elem").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("elem", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own"))
-    rows = rows.join(sets, "cid")
-
-    def sketches(batches):
-        for batch in batches:
-            out = [sketch(np.frombuffer(h.as_buffer(), np.uint64), e & 15).tobytes() for e, h in zip(batch.column(0).to_pylist(), batch.column(7), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(7)), pa.array(out, pa.binary())], ["elem", "cid", "comp", "i", "j", "own", "n", "bits"])
-
-    rows = rows.select("elem", "cid", "comp", "i", "j", "own", "n", "hashes").mapInArrow(sketches, "elem long, cid long, comp long, i int, j int, own int, n long, bits binary")
-
-    def search(table: pa.Table) -> pa.Table:
-        cid, comp, n, own = (table.column(c).to_numpy() for c in ("cid", "comp", "n", "own"))
-        bits = np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bits")])
-        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        xs, ys = [], []
-        for r in range(len(cid) - 1):
-            rest = slice(r + 1, None)
-            ok = (comp[rest] != comp[r]) & (n[rest] * b >= n[r] * a) & (n[r] * b >= n[rest] * a)
+    large = open_chunks.groupBy("elem").agg((F.count("*") > BLOCK).alias("large"))
+    step = F.col("cid").bitwiseAND(127).cast("int")
+    rows = open_chunks.join(large, "elem").withColumn("step", F.explode(F.when(F.col("large"), F.array(step, step + 1)).otherwise(F.array(F.lit(0)))))
+    sizes = rows.groupBy("elem", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, ["elem", "step"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("elem", "step", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    rows = rows.join(known, "cid").select("elem", "step", "i", "j", "own", "cid", "comp", "n", "bits")
+    rows = rows.repartition(4 * partitions(open_chunks.sparkSession), "elem", "step", "i", "j").sortWithinPartitions("elem", "step", "i", "j", "cid")
+
+    def search(run: pa.Table):
+        cid, comp, n, own = (run.column(c).to_numpy() for c in ("cid", "comp", "n", "own"))
+        across = run.column("i")[0].as_py() != run.column("j")[0].as_py()
+        widths = np.array([len(x.as_buffer()) for x in run.column("bits")])
+        bits = {w: np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in run.column("bits").filter(pa.array(widths == w))]) for w in np.unique(widths)}
+        place = np.zeros(len(cid), np.int64)
+        for w in bits:
+            place[widths == w] = np.arange((widths == w).sum())
+        # rows of the largest component are only looked at from the others
+        names, size = np.unique(comp, return_counts=True)
+        largest = comp == names[size.argmax()]
+        after = np.arange(len(cid))
+        step = run.column("step")[0].as_py()
+        below = (cid & 127) < step  # these meet each other in the step below
+        for r in np.flatnonzero(~largest):
+            ok = (comp != comp[r]) & (n * b >= n[r] * a) & (n[r] * b >= n * a) & (largest | (after > r))
             if across:
-                ok &= own[rest] != own[r]
-            at = np.flatnonzero(ok) + r + 1
-            if len(at):
-                apart = np.bitwise_count(bits[at] ^ bits[r]).sum(1, dtype=np.int64)
-                at = at[apart <= (n[at] + n[r]) * (b - a) // (a + b)]
-                xs.append(np.minimum(cid[at], cid[r]))
-                ys.append(np.maximum(cid[at], cid[r]))
-        none = np.zeros(0, np.int64)
-        return pa.table([pa.array(np.concatenate([none, *xs])), pa.array(np.concatenate([none, *ys]))], ["x", "y"])
-
-    return rows.groupBy("elem", "i", "j").applyInArrow(search, "x long, y long").distinct()
+                ok &= own != own[r]
+            if below[r]:
+                ok &= ~below
+            near, far = [], []
+            for w in bits:
+                at = np.flatnonzero(ok & (widths == w))
+                if len(at):
+                    d = apart(bits[widths[r]][place[r]], bits[w][place[at]])
+                    fit = d <= (n[at] + n[r]) * (b - a) // (a + b)
+                    near.append(at[fit])
+                    far.append(d[fit] / (n[at[fit]] + n[r]))
+            near, far = np.concatenate([np.zeros(0, np.int64), *near]), np.concatenate([np.zeros(0), *far])
+            if closest:
+                near = near[far.argsort(kind="stable")[:1]]
+            if len(near):
+                yield np.minimum(cid[near], cid[r]), np.maximum(cid[near], cid[r])
+
+    def runs(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("elem", "step", "i", "j")])
+            heads = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))).tolist()
+            yield from found(table.slice(x, y - x) for x, y in zip(heads[:-1], heads[1:], strict=True))
+            held = table.slice(heads[-1])
+        if held is not None:
+            yield from found([held])
+
+    def found(tables):
+        got = [pair for t in tables if t.num_rows > 1 for pair in search(t.combine_chunks())]
+        if got:
+            x, y = (np.concatenate(c) for c in zip(*got, strict=True))
+            both = np.unique(np.stack([x, y]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["x", "y"])
+
+    return rows.mapInArrow(runs, "x long, y long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -310,36 +411,55 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
     Two documents link when b * |intersection| >= a * |union| for threshold (a, b).
     """
     a, b = threshold
+    steps = size_steps(a, b)
     rows = _text(docs, key, text)
     parts = materialize(classes(rows, a, b, k), "join-classes")
     counts = common_counts(parts)
     own = parts.filter("block is null").select("doc_id", "n", "cid")
     chunks = materialize(shared_chunks(rows, counts, a, b, k), "join-chunks")
 
-    per_class = own.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    nodes = chunks.select("cid").distinct()
-    needed = materialize(per_class.join(nodes, "cid").select(F.col("least").alias("of"), "cid"), "join-needed")
-    sets = materialize(sets_of(rows, needed, k), "join-sets")
-    nodes = sets.select("cid")
-
-    led = chunks.filter("cid != leader").groupBy("cid", "leader").agg(F.count("*").alias("times"))
-    tried = led.groupBy("cid").agg(F.max(F.struct("times", "leader")).alias("best")).select(F.col("best.leader").alias("x"), F.col("cid").alias("y"))
-    first = materialize(verified(tried, sets, a, b), "join-first")
-    comp = components(nodes, first)
-
-    known = chunks.select("elem", "cid").join(comp, "cid")
-    mixed = known.groupBy("elem").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("elem")
-    known = materialize(known.join(mixed, "elem", "left_semi"), "join-open")
-    second = verified(cross_pairs(known, sets, a, b), sets, a, b)
-    links = second.join(comp.select(F.col("cid").alias("x"), F.col("comp").alias("cx")), "x").join(comp.select(F.col("cid").alias("y"), F.col("comp").alias("cy")), "y")
-    merged = components(comp.select(F.col("comp").alias("cid")).distinct(), links.select(F.col("cx").alias("x"), F.col("cy").alias("y")))
-    comp = comp.join(merged.select(F.col("cid").alias("comp"), F.col("comp").alias("root")), "comp").select("cid", "root")
+    pairs = chunks.filter("elem is null").select("x", "y").distinct()
+    nodes = chunks.select(F.col("x").alias("cid")).union(chunks.filter("elem is null").select("y")).distinct()
+    needed = materialize(own.join(nodes, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("of")), "join-needed")
+    # rows that repeat a key and a text give a class more than once
+    sketches = materialize(sets_of(rows, needed, k, "bits", steps).dropDuplicates(["cid"]), "join-sketches")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are linked: only the sets that occur in a pair are made and moved."""
+        pairs = materialize(pairs.select("x", "y"), "join-pairs")
+        ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
+        sets = materialize(sets_of(rows, needed.join(small_side(ends), "cid", "left_semi"), k, "hashes", steps), "join-sets")
+        return materialize(verified(pairs, sets, a, b), "join-linked")
+
+    best = F.row_number().over(Window.partitionBy("y").orderBy("apart", "x"))
+    near = materialize(likely(pairs, sketches, a, b).withColumn("place", best), "join-near")
+    comp = components(sketches, linked(near.filter(F.col("place") <= FIRST)))
+
+    def across(pairs: DataFrame) -> DataFrame:
+        """With the components cx and cy of x and y, which differ."""
+        one, two = (comp.select(F.col("cid").alias(c), F.col("comp").alias(f"c{c}")) for c in "xy")
+        return pairs.join(one, "x").join(two, "y").filter("cx != cy").select("x", "y", "cx", "cy")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components after further links."""
+        merged = components(comp.select(F.col("comp").alias("cid")).distinct(), across(links).select(F.col("cx").alias("x"), F.col("cy").alias("y")))
+        return materialize(comp.join(merged.select(F.col("cid").alias("comp"), F.col("comp").alias("root")), "comp").select("cid", F.col("root").alias("comp")), "join-joined")
+
+    comp = joined(linked(across(near.filter(F.col("place") > FIRST).select("x", "y"))))
+    members = chunks.filter("elem is not null").select("elem", F.col("x").alias("cid"))
+    for closest in (True, False):
+        placed = members.join(comp, "cid")
+        mixed = placed.groupBy("elem").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("elem")
+        open_ = materialize(placed.join(mixed, "elem", "left_semi"), "join-open")
+        comp = joined(linked(cross_pairs(open_, sketches, a, b, closest)))
+    comp = comp.withColumnRenamed("comp", "root")
 
     # least key of each component, for classes that have more than one row or chunk
+    per_class = own.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     groups = per_class.join(comp, "cid", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "cid"))
     roots = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(groups.select("cid", "root").join(roots, "root").select("cid", "component_id"), "join-named")
-    out = own.join(named, "cid", "left")
+    out = own.select("doc_id", "n", "cid").join(named, "cid", "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 

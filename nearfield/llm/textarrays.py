@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel looks at together; its arrays take about 60 times as much.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _U = np.uint64
 _ONE = _U(1)

@@ -71,7 +71,9 @@ def test_against_all_pairs(spark, seed):
     assert run(spark, rows) == brute(rows)
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("block", [50, 2048])
+def test_large_group_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(parity_join, "BLOCK", block)
     r = random.Random(5)
     base = [f"w{i}" for i in range(80)]
     rows = []
@@ -87,6 +89,10 @@ def test_odd_keys(spark):
     text, other = "a b c d e f g h", "q r s t u v w"
     rows = [(5, text), (5, text), (3, text.upper()), (None, text), (None, other), (None, other), (9, other + " x y z"), (9, None)]
     assert run(spark, rows) == brute(rows)
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in (7, 30, 45)]
+    rows = [(k, t) for k, t in zip((4, 4, 4, 8, 8, None), (near[0], near[0], near[1], near[2], near[2], near[1]), strict=True)] * 2
+    assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
 
 
