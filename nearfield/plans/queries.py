@@ -71,7 +71,7 @@ def top_sql(d: str, k: int = K, where: str = "", order: str = "ASC", data: str =
     return f"""WITH v AS ({data}), qs AS ({queries}),
     p AS (SELECT query_id, vec_id, {d} AS distance FROM qs, v {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance {order}, vec_id) AS rank FROM p)
-    SELECT query_id, rank, vec_id, {rnd('distance')} AS distance FROM r WHERE rank <= {k}"""
+    SELECT query_id, rank::INT AS rank, vec_id, {rnd('distance')} AS distance FROM r WHERE rank <= {k}"""
 
 
 # --- distances -----------------------------------------------------------------------------------
@@ -258,7 +258,7 @@ def merge_parts(spark, sf_dir):
 
 @query("""WITH r AS (SELECT vec_id AS row_id, unnest(embedding::DOUBLE[]) AS value, unnest(range(0, 64)) AS id FROM embeddings),
 n AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY value DESC, id) AS rank FROM r WHERE id < 32 + row_id % 32)
-SELECT row_id, rank, id, round(value, 6) + 0.0 AS value FROM n WHERE rank <= 5""")
+SELECT row_id, rank::INT AS rank, id, round(value, 6) + 0.0 AS value FROM n WHERE rank <= 5""")
 def select_k(spark, sf_dir):
     rows = vectors(spark, sf_dir).select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("values"), (32 + F.col("vec_id") % 32).cast("int").alias("n"))
     return rounded(topk.select_k(rows, 5, lengths="n", select_min=False), "value")
@@ -268,7 +268,7 @@ _GRAPH = f"""v AS ({V}), e AS (SELECT a.vec_id AS src, b.vec_id AS dst, {sq("a.v
 g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM e) WHERE rank <= {{k}})"""
 
 
-@query(f"WITH {_GRAPH.format(k=K)} SELECT src, rank, dst, {rnd('distance')} AS distance FROM g")
+@query(f"WITH {_GRAPH.format(k=K)} SELECT src, rank::INT AS rank, dst, {rnd('distance')} AS distance FROM g")
 def knn_graph(spark, sf_dir):
     return rounded(knn.knn_graph(vectors(spark, sf_dir), K), "distance")
 
@@ -322,7 +322,7 @@ def filter_inline(spark, sf_dir):
 p AS (SELECT query_id, query_label, vec_id, labels, {sq()} AS distance FROM qs, v),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS n FROM p),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r WHERE n <= 64 AND list_contains(labels, query_label))
-SELECT query_id, rank, vec_id, {rnd("distance")} AS distance FROM f WHERE rank <= {K}""")
+SELECT query_id, rank::INT AS rank, vec_id, {rnd("distance")} AS distance FROM f WHERE rank <= {K}""")
 def filter_post(spark, sf_dir):
     return rounded(label_index.post_filter(labelled(spark, sf_dir), asked(spark, sf_dir), K, 64), "distance")
 
@@ -378,7 +378,7 @@ b AS (SELECT * FROM (SELECT dst AS src, src AS dst, place, distance, row_number(
 u AS (SELECT src, dst, 0 AS kind, place, distance FROM o WHERE place <= {h} UNION ALL SELECT src, dst, 1, place, distance FROM b UNION ALL SELECT src, dst, 2, place, distance FROM o WHERE place > {h}),
 s AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY kind, place, distance) AS one FROM u),
 f AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY kind, place, dst) AS final FROM s WHERE one = 1)
-SELECT src, final AS rank, dst, round(distance, 6) + 0.0 AS distance FROM f WHERE final <= {d}"""
+SELECT src, final::INT AS rank, dst, round(distance, 6) + 0.0 AS distance FROM f WHERE final <= {d}"""
 
 
 @query("WITH " + _OPT.format(graph=_GRAPH.format(k=16), d=8, h=4))
@@ -522,7 +522,7 @@ _IVF = f"""WITH {_lloyd_sql(16, 2)}, qs AS ({Q}),
 w AS (SELECT query_id, cluster, row_number() OVER (PARTITION BY query_id ORDER BY {sq('q', 'center')}, cluster) AS n FROM qs, c2),
 p AS (SELECT w.query_id, a.vec_id, {sq()} AS distance FROM w JOIN a2 a ON w.cluster = a.cluster JOIN v ON v.vec_id = a.vec_id JOIN qs ON qs.query_id = w.query_id WHERE w.n <= 4 {{where}}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
-SELECT query_id, rank, vec_id, {rnd('distance')} AS distance FROM r WHERE rank <= {K}"""
+SELECT query_id, rank::INT AS rank, vec_id, {rnd('distance')} AS distance FROM r WHERE rank <= {K}"""
 
 
 def _flat(spark, sf_dir, rows=None):
