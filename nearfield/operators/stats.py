@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import distance
+from ..functions.metrics import distance, dot, metric_name, norm2
 from ..tables import small
 
 
 def silhouette_samples(data: DataFrame, labels: str = "label", metric: str = "l2_expanded", vector: str = "embedding") -> DataFrame:
     """(vec_id, silhouette): a is the mean distance to the own cluster without oneself, b the least mean to another; a row alone in its cluster gets 0."""
     rows = data.select("vec_id", F.col(vector).alias("v"), F.col(labels).alias("label"))
-    other = small(rows.select(F.col("v").alias("w"), F.col("label").alias("other")))
-    means = rows.crossJoin(other).groupBy("vec_id", "label", "other").agg(F.sum(distance(F.col("v"), F.col("w"), metric)).alias("total"), F.count("*").alias("n"))
+    if metric_name(metric) in ("l2_expanded", "l2_unexpanded"):
+        # the sum of squared distances to a cluster follows from its size, sum and sum of squares
+        sums = rows.select("label", F.posexplode(F.col("v").cast("array<double>")).alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("x"))
+        sums = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("s"))
+        clusters = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(norm2(F.col("v"))).alias("q")).join(sums, "label").withColumnRenamed("label", "other")
+        total = F.col("n") * norm2(F.col("v")) - 2 * dot(F.col("v"), F.col("s")) + F.col("q")
+        means = rows.crossJoin(small(clusters)).select("vec_id", "label", "other", F.greatest(F.lit(0.0), total).alias("total"), "n")
+    else:
+        other = small(rows.select(F.col("v").alias("w"), F.col("label").alias("other")))
+        means = rows.crossJoin(other).groupBy("vec_id", "label", "other").agg(F.sum(distance(F.col("v"), F.col("w"), metric)).alias("total"), F.count("*").alias("n"))
     own = F.col("label") == F.col("other")
     both = means.groupBy("vec_id").agg(F.max(F.when(own, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)))).alias("a"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b")), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
