@@ -36,7 +36,7 @@ ENDS_P = frozenset("address article aside blockquote center details dir div dl d
 #: An element that a sibling of these ends, up to the container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 #: Parts of class and id names that mark what isn't the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related recommended recommendations replies reply respond share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription toolbar widget alert".split())
+MARKS = frozenset("ad adbox ads adslot advert adverts advertisement advertising adsense announcement aside banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookiebar cookies disclaimer disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related recommended recommendations replies reply respond share sharing sidebar sidebox sidenav signup skip skyscraper social sponsor sponsored subnav subscribe subscription teaser teasers toolbar topbar topnav widget alert".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 SECTIONS = frozenset("html body article main".split())
 
