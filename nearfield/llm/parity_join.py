@@ -14,9 +14,10 @@ Candidates share a chunk. The links found are exact, the components too:
 1. Small chunks give all their pairs, larger ones each set with the first and with the one before it.
    Of these partners each set is tried against the few that are closest by Hamming distance.
 2. The other pairs of step 1 are verified if their sets are in different components (inside a
-   component a pair changes nothing); then, of the larger chunks, each set's pair with the
-   closest set of another component.
-3. Last, all pairs of larger chunks that are still in different components, searched in blocks.
+   component a pair changes nothing); then, of the larger chunks, searched in blocks, each set's
+   pairs with sets of other components, if they are more than a few only the closest.
+3. Last, chunks of which pairs weren't given are searched again, for all pairs that are still in
+   different components.
 
 In all steps only pairs that can be linked by the Hamming distance of their dense sketches are
 verified on the sets themselves.
@@ -47,6 +48,7 @@ from .common import materialize, partitions, small_side, slices
 U = np.uint64
 SLOTS = 1 << 20  # of the count of chunks: 4 MB, whatever the input
 SMALL = 16  # classes of a chunk that is searched by all its pairs
+FEW = 4  # partners of a set in a large chunk that are all tried at once
 BLOCK = 2048  # classes of a chunk that are searched at once
 FIRST = 3  # partners that a set is tried against before the open chunks are searched
 _SALT = ta.mix(np.arange(1, 65, dtype=np.uint64) * U(0xD1B54A32D192ED03)) | U(1)
@@ -331,10 +333,11 @@ def likely(pairs: DataFrame, known: DataFrame, a: int, b: int) -> DataFrame:
     return both.select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(run, "x long, y long, apart double")
 
 
-def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, closest: bool) -> DataFrame:
-    """Pairs of classes that share a chunk, are in different components and can be linked by size and Hamming distance.
+def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: int | None) -> DataFrame:
+    """(x, y, elem): pairs of classes that share a chunk, are in different components and can be linked by size and Hamming distance.
 
-    closest: for each class outside a chunk's largest component the closest one only, else all.
+    few: a class outside a chunk's largest component that has more such partners gives the closest
+    one only, and a row with the chunk (elem) says that there are others. None: all pairs.
     open_chunks: (elem, cid, comp). A chunk with more than ``BLOCK`` classes is searched by size
     class, each with the one below it. What is still larger is cut into blocks; each pair of
     blocks is searched as one run of rows, whole runs in one task, many runs to a task.
@@ -348,7 +351,7 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, closes
     rows = rows.join(known, "cid").select("elem", "step", "i", "j", "own", "cid", "comp", "n", "bits")
     rows = rows.repartition(4 * partitions(open_chunks.sparkSession), "elem", "step", "i", "j").sortWithinPartitions("elem", "step", "i", "j", "cid")
 
-    def search(run: pa.Table):
+    def search(run: pa.Table, left: set):
         cid, comp, n, own = (run.column(c).to_numpy() for c in ("cid", "comp", "n", "own"))
         across = run.column("i")[0].as_py() != run.column("j")[0].as_py()
         widths = np.array([len(x.as_buffer()) for x in run.column("bits")])
@@ -377,8 +380,9 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, closes
                     near.append(at[fit])
                     far.append(d[fit] / (n[at[fit]] + n[r]))
             near, far = np.concatenate([np.zeros(0, np.int64), *near]), np.concatenate([np.zeros(0), *far])
-            if closest:
+            if few is not None and len(near) > few:
                 near = near[far.argsort(kind="stable")[:1]]
+                left.add(run.column("elem")[0].as_py())
             if len(near):
                 yield np.minimum(cid[near], cid[r]), np.maximum(cid[near], cid[r])
 
@@ -396,13 +400,15 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, closes
             yield from found([held])
 
     def found(tables):
-        got = [pair for t in tables if t.num_rows > 1 for pair in search(t.combine_chunks())]
+        left: set = set()
+        got = [pair for t in tables if t.num_rows > 1 for pair in search(t.combine_chunks(), left)]
         if got:
             x, y = (np.concatenate(c) for c in zip(*got, strict=True))
             both = np.unique(np.stack([x, y]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["x", "y"])
+            n, m = both.shape[1], len(left)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(c), pa.nulls(m, pa.int64())]) for c in both] + [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(list(left), pa.int64())])], ["x", "y", "elem"])
 
-    return rows.mapInArrow(runs, "x long, y long").distinct()
+    return rows.mapInArrow(runs, "x long, y long, elem long").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
@@ -447,11 +453,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
 
     comp = joined(linked(across(near.filter(F.col("place") > FIRST).select("x", "y"))))
     members = chunks.filter("elem is not null").select("elem", F.col("x").alias("cid"))
-    for closest in (True, False):
+    for few in (FEW, None):
         placed = members.join(comp, "cid")
         mixed = placed.groupBy("elem").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("elem")
         open_ = materialize(placed.join(mixed, "elem", "left_semi"), "join-open")
-        comp = joined(linked(cross_pairs(open_, sketches, a, b, closest)))
+        crossing = materialize(cross_pairs(open_, sketches, a, b, few), "join-crossing")
+        comp = joined(linked(crossing.filter("elem is null")))
+        # only chunks with pairs that weren't given are searched again
+        members = members.join(crossing.filter("elem is not null").select("elem").distinct(), "elem", "left_semi")
     comp = comp.withColumnRenamed("comp", "root")
 
     # least key of each component, for classes that have more than one row or chunk
