@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..tables import written as materialize
 
-__all__ = ["WORD", "materialize", "partitions", "read", "slices", "small_side"]
+__all__ = ["WORD", "bounded_batches", "materialize", "partitions", "read", "slices", "small_side"]
 
 #: White space of the word rule: space and the bytes 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,11 +21,19 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let texts reach Python in batches of 16 MB, where the session has Spark's own default (64 MB)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "") == "67108864b":
+        spark.conf.set(name, "16m")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

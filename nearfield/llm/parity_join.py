@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import materialize, partitions, small_side, slices
+from .common import bounded_batches, materialize, partitions, slices, small_side
 
 U = np.uint64
 SLOTS = 1 << 20  # of the count of chunks: 4 MB, whatever the input
@@ -227,7 +227,7 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
                     codes.append(e[order])
                     ids.append(np.full(len(order), cid, np.int64))
                     held += len(order)
-                if held >= 1 << 19:
+                if held >= 1 << 18:
                     yield from emit(codes, ids)
                     codes, ids, held = [], [], 0
         if codes:
@@ -418,6 +418,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
     """
     a, b = threshold
     steps = size_steps(a, b)
+    bounded_batches(docs.sparkSession)
     rows = _text(docs, key, text)
     parts = materialize(classes(rows, a, b, k), "join-classes")
     counts = common_counts(parts)
