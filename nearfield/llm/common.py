@@ -24,7 +24,7 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Let texts reach Python in batches of 16 MB, where the session has Spark's own default (64 MB)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, "") == "67108864b":
+    if spark.conf.get(name) == "67108864b":
         spark.conf.set(name, "16m")
 
 
