@@ -11,7 +11,7 @@ rare ones first, so that passages which many documents share are hardly ever ind
 
 Candidates share a chunk. The links found are exact, the components too:
 
-1. Small chunks give all their pairs, larger ones each set with the first and with the one before it.
+1. Small chunks give all their pairs, larger ones each set with the one before it in order of size.
    Of these partners each set is tried against the few that are closest by Hamming distance.
 2. The other pairs of step 1 are verified if their sets are in different components (inside a
    component a pair changes nothing); then, of the larger chunks, searched in blocks, each set's
@@ -192,7 +192,7 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
     """What meets in the indexed chunks: pairs (x, y) of classes, and members (elem, x) of chunks with more than ``SMALL`` classes.
 
     A small chunk gives all its pairs, a larger one its members, and as pairs only each member with
-    the first one and the one before it. Pairs of unfit sizes are left out at once; pairs are
+    the one before it in the order of sizes. Pairs of unfit sizes are left out at once; pairs are
     distinct within a task's part.
 
     Codes travel as packed arrays, dealt out by code; a class is sent once by each task that has it.
@@ -248,9 +248,8 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
             one, two = np.triu_indices(size, 1)
             pairs.append(np.stack([own[:, one].ravel(), own[:, two].ravel()]))
         many = np.repeat(sizes > SMALL, sizes)
-        first, at = np.repeat(ids[heads], sizes), np.arange(len(ids))
-        later = many & (at != np.repeat(heads, sizes))
-        pairs += [np.stack([first[later], ids[later]]), np.stack([ids[at[later] - 1], ids[later]])]
+        later = many & (np.arange(len(ids)) != np.repeat(heads, sizes))
+        pairs.append(np.stack([ids[np.flatnonzero(later) - 1], ids[later]]))
         pairs = np.concatenate(pairs, 1)
         pairs = np.sort(pairs[:, np.abs((pairs[0] & 127) - (pairs[1] & 127)) <= 1], axis=0)
         pairs = np.unique(pairs, axis=1)
