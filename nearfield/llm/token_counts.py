@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import token_counts
+from .common import materialize
 
 BLOCK = 1 << 10
 
@@ -25,6 +26,7 @@ def histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
     """
     bars = counts.groupBy(F.col(length).cast("long").alias("n_tokens")).agg(F.count("*").alias("docs"))
     bars = bars.withColumn("tokens", F.col("docs") * F.col("n_tokens")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK).cast("long"))
+    bars = materialize(bars, "histogram")  # read twice below
     blocks = bars.groupBy("block").agg(F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
