@@ -3,8 +3,9 @@
 A page is read into text nodes, each with the path of block elements (with their classes) from
 the root. Over all nodes that share a path, the length of text outside links and the punctuation
 are averaged (the two ratios), smoothed along the page with a small Gaussian, and fused by their
-geometric mean. Paths over a share of the spread of the fused values are content; the element that
-holds most content text then brings in its other nodes (headings, short paragraphs, lists).
+geometric mean. Paths over a share of the spread of the fused values are content; the innermost
+element that holds all content, or the article around it, then brings in its other nodes (headings,
+short paragraphs, lists). Content is never left out again.
 Elements that are never part of an article (navigation, forms, scripts and so on) are left out
 before the ratios are taken, as are elements named so by class, id or role.
 
@@ -177,6 +178,16 @@ def content(blocks: list[tuple], share: float = 0.35) -> list[bool]:
     return [v > 0 and v >= bar for v in values]
 
 
+def _holder(paths: list[tuple]) -> _Element | None:
+    """The innermost element around all of the blocks, or the article or main element around it."""
+    if not paths:
+        return None
+    n = min(map(len, paths))
+    same = next((k for k in range(n) if any(p[k] is not paths[0][k] for p in paths)), n)
+    around = [e for e in paths[0][:same] if e.tag != "p" and e.tag not in HEADINGS]
+    return next((e for e in reversed(around) if e.tag in ("article", "main")), around[-1] if around else None)
+
+
 def extract(page: str | None) -> str:
     """Main text: blocks in page order, joined by an empty line."""
     found = _blocks([n for n in nodes(page or "") if not any(e.out for e in n.elements)])
@@ -187,19 +198,11 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     chosen = content(found)
-    # the innermost element that holds most of the content text
-    held: dict[int, list] = {}
-    for (elements, _, chars, _), yes in zip(found, chosen, strict=True):
-        if yes:
-            for depth, e in enumerate(elements):
-                if e.tag != "p" and e.tag not in HEADINGS:
-                    held.setdefault(id(e), [0, depth])[0] += chars
-    total = sum(b[2] for b, yes in zip(found, chosen, strict=True) if yes)
-    inner = max((depth, key) for key, (chars, depth) in held.items() if chars >= 0.6 * total)[1] if held and total else None
+    inner = _holder([b[0] for b, yes in zip(found, chosen, strict=True) if yes])
     out = []
     for (elements, text, chars, _), yes in zip(found, chosen, strict=True):
-        within = inner is not None and any(id(e) == inner for e in elements)
-        if inner is None and yes or within and (yes or 2 * chars >= len(text)):
+        within = inner is not None and any(e is inner for e in elements)
+        if yes or within and 2 * chars >= len(text):
             out.append(text)
     return "\n\n".join(out)
 

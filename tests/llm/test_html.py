@@ -31,6 +31,22 @@ def test_mark_on_everything_is_ignored():
     assert html.extract(f"<body><div class='ad free'><p>{text}</p></div></body>") == text
 
 
+def test_content_outside_the_largest_element_stays():
+    lead = [f"Lead {i}, a sentence with commas, and a stop at its end." for i in range(3)]
+    body = [f"Body {i}, a sentence with commas, and a stop at its end." for i in range(7)]
+    made = ["".join(f"<p>{x}</p>" for x in part) for part in (lead, body)]
+    for tag in ("div", "section", "blockquote"):
+        page = f"<body><article><h1>Title</h1><div class=lead><h2>Lead</h2>{made[0]}</div><{tag} class=body>{made[1]}</{tag}></article></body>"
+        assert html.extract(page).split("\n\n") == ["Title", "Lead", *lead, *body]
+        assert html.extract(f"<article><h1>Title</h1><{tag}>{made[1]}</{tag}></article>").split("\n\n") == ["Title", *body]
+
+
+def test_content_without_an_enclosing_element():
+    text = [f"Paragraph {i}, with commas, and a stop at its end." for i in range(4)]
+    page = f"<p>{text[0]}</p><p>{text[1]}</p><div><p>{text[2]}</p></div><p>{text[3]}</p>"
+    assert html.extract(page).split("\n\n") == text
+
+
 def test_broken_and_deep_pages():
     deep = "<div>" * 5000 + "<p>Deep text, with a comma, and a stop.</p>" + "</div>" * 100
     assert html.extract(deep) == "Deep text, with a comma, and a stop."
