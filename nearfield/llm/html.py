@@ -38,6 +38,8 @@ ENDS_P = frozenset("address article aside blockquote center details dir div dl d
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
 #: Parts of class and id names that mark what isn't the article.
 MARKS = frozenset("ad adbox ads adslot advert adverts advertisement advertising adsense announcement aside banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookiebar cookies disclaimer disqus feedback footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion related recommended recommendations replies reply respond share sharing sidebar sidebox sidenav signup skip skyscraper social sponsor sponsored subnav subscribe subscription teaser teasers toolbar topbar topnav widget alert".split())
+#: Those of them that mark what readers wrote, which may be longer than the article.
+THREADS = frozenset("comment commentlist comments disqus feedback replies reply respond".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 SECTIONS = frozenset("html body article main".split())
 
@@ -58,10 +60,11 @@ class _Node:
 
 
 class _Element:
-    __slots__ = ("tag", "classes", "out", "marked")
+    __slots__ = ("tag", "classes", "out", "named", "marked", "thread")
 
     def __init__(self, tag: str, attributes: str, inside: tuple):
-        self.tag, self.classes, self.out, self.marked = tag, "", tag in NEVER, False
+        self.tag, self.classes, self.out = tag, "", tag in NEVER
+        self.named = self.marked = self.thread = False
         if tag == "header":
             self.out = not any(e.tag in ("article", "main") for e in inside)
         if attributes:
@@ -71,7 +74,9 @@ class _Element:
             style = own.get("style", "").replace(" ", "").lower()
             hidden = own.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or re.search(r"(^|\s)hidden(\s|$)", attributes)
             self.out = self.out or bool(hidden) or own.get("role", "").lower() in ROLES
-            self.marked = tag not in SECTIONS and bool(names & MARKS)
+            self.named = bool(names & MARKS)
+            self.marked = self.named and tag not in SECTIONS
+            self.thread = self.marked and bool(names & THREADS)
 
 
 def nodes(page: str) -> list[_Node]:
@@ -178,6 +183,44 @@ def content(blocks: list[tuple], share: float = 0.35) -> list[bool]:
     return [v > 0 and v >= bar for v in values]
 
 
+def _around_article(blocks: list[tuple]) -> set[int]:
+    """Ids of the elements around main, or without one around the page's only article that has no mark of its own."""
+    ids: dict[str, set[int]] = {"main": set(), "article": set()}
+    around: dict[str, set[int]] = {"main": set(), "article": set()}
+    for elements, *_ in blocks:
+        for depth, e in enumerate(elements):
+            if e.tag in ids and not e.named and id(e) not in ids[e.tag]:
+                ids[e.tag].add(id(e))
+                around[e.tag].update(id(x) for x in elements[:depth])
+    if ids["main"]:
+        return around["main"]
+    return around["article"] if len(ids["article"]) == 1 else set()
+
+
+def _unmarked(blocks: list[tuple]) -> list[tuple]:
+    """The blocks outside marked elements; a mark on an element around the article is a name by chance.
+
+    If next to nothing is left (a tenth of the text), so is the mark that hides most text, and so on;
+    other marks stay. What readers wrote doesn't count for that, however long; it is the text of a
+    page that has no other.
+    """
+    chance = _around_article(blocks)
+    own = [b for b in blocks if not any(e.thread and id(e) not in chance for e in b[0])]
+    total = sum(b[2] for b in own)
+    if not total:
+        return blocks if sum(b[2] for b in blocks) else own
+    while True:
+        kept = [b for b in own if not any(e.marked and id(e) not in chance for e in b[0])]
+        if 10 * sum(b[2] for b in kept) >= total:
+            return kept
+        hidden: dict[int, int] = {}
+        for elements, _, chars, _ in own:
+            for e in elements:
+                if e.marked and id(e) not in chance:
+                    hidden[id(e)] = hidden.get(id(e), 0) + chars
+        chance.add(max(hidden, key=lambda e: hidden[e]))
+
+
 def _holder(paths: list[tuple]) -> _Element | None:
     """The innermost element around all of the blocks, or the article or main element around it."""
     if not paths:
@@ -191,10 +234,7 @@ def _holder(paths: list[tuple]) -> _Element | None:
 def extract(page: str | None) -> str:
     """Main text: blocks in page order, joined by an empty line."""
     found = _blocks([n for n in nodes(page or "") if not any(e.out for e in n.elements)])
-    unmarked = [b for b in found if not any(e.marked for e in b[0])]
-    # a mark on the element that holds nearly all text is a name by chance
-    if sum(b[2] for b in unmarked) * 10 >= sum(b[2] for b in found):
-        found = unmarked
+    found = _unmarked(found)
     if not found:
         return ""
     chosen = content(found)

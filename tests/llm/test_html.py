@@ -47,6 +47,29 @@ def test_content_without_an_enclosing_element():
     assert html.extract(page).split("\n\n") == text
 
 
+def test_comments_longer_than_the_article_stay_out():
+    article = ["A short article, with a comma.", "It ends here, after two sentences."]
+    posts = "".join(f"<div><p>Comment {i}, one of very many, and each of them is longer than the article is, by far. So it goes, on and on.</p></div>" for i in range(60))
+    made = "".join(f"<p>{x}</p>" for x in article)
+    for around in ("<div class=post>{}</div>", "<article>{}</article>", "<main>{}</main>", "{}"):
+        page = "<body>" + around.format(made) + f"<div id=comments>{posts}</div><div class=advert><p>Buy this, now, and that.</p></div></body>"
+        assert html.extract(page).split("\n\n") == article
+    # each comment an article of its own
+    assert html.extract(f"<body><div class=post>{made}</div><ol class=comments>{posts.replace('div', 'article')}</ol></body>").split("\n\n") == article
+    assert html.extract(f"<body><section id=comments>{posts}</section></body>").count("Comment") == 60
+
+
+def test_mark_around_the_article_is_ignored_alone():
+    text = [f"Paragraph {i}, with commas, and a stop at its end." for i in range(9)]
+    made = "".join(f"<p>{x}</p>" for x in text)
+    advert = "<div class=advert><p>Buy this, now, and that. It is cheap, they say.</p></div>"
+    foot = "<div><p>All rights, 2020.</p></div>"
+    for tag in ("main", "article"):
+        assert html.extract(f"<body><div class='page with-sidebar'><{tag}>{made}</{tag}>{advert}</div></body>").split("\n\n") == text
+    assert html.extract(f"<body><div class='page with-sidebar'><div>{made}</div>{advert}</div>{foot}</body>").split("\n\n")[:9] == text
+    assert "Buy" not in html.extract(f"<body><div class='page with-sidebar'><div>{made}</div>{advert}</div>{foot}</body>")
+
+
 def test_broken_and_deep_pages():
     deep = "<div>" * 5000 + "<p>Deep text, with a comma, and a stop.</p>" + "</div>" * 100
     assert html.extract(deep) == "Deep text, with a comma, and a stop."
