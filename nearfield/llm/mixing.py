@@ -122,16 +122,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     return _elsewhere(rows).unionByName(at_end(rows)).select(F.col("doc_id").alias(key), "size", "source_size", "target", taken.cast("long").alias("taken"), "epochs", "part")
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, quality: DataFrame | None = None, quality_weights: tuple[float, float, float] = (0.25, 0.5, 1.0), key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, in the same columns.
 
     A document of which the budget takes a part is cut after so many words (joined by single
-    spaces), and ``length`` is counted anew. Texts aren't shuffled.
+    spaces), and ``length`` is counted anew. quality and quality_weights are as in ``mix``; texts
+    are shuffled only to join a quality that is too large to broadcast.
     """
-    mid = (0.25, 0.5, 1.0)
-    sized = materialize(placed(docs, None, mid, key, text, source), "mix-sized")
+    sized = materialize(placed(docs, quality, quality_weights, key, text, source), "mix-sized")
     plan, n = decide(sized, weights, share, cap)
-    rows = _with_source(placed(docs, None, mid, key, text, source, tuple(docs.columns)), plan, n)
+    rows = _with_source(placed(docs, quality, quality_weights, key, text, source, tuple(docs.columns)), plan, n)
     both = _elsewhere(rows).unionByName(at_end(rows))
     copies = both.withColumn("words", F.explode(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>")))))
     cut = F.col("words") < F.col("size")

@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 
 from nearfield.llm import queries as registered
+from tests.llm.test_mixing import brute as mix_brute
 from tests.llm.test_parity_join import brute as near_brute
 
 
@@ -54,6 +55,16 @@ def test_stages(spark, folder):
             seen = after
 
 
+def test_mixing_takes_what_the_quality_weights_say(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    taken = {x[0]: 0 for x in rows}
+    for r in corpus_pipeline.mixing_stage(spark, docs, path).collect():
+        taken[r.doc_id] += len(r.text.split())
+    assert taken == {x[0]: x[4] for x in mix_brute([(x[0], x[1], x[3]) for x in rows], labels)}
+
+
 def test_run(spark, folder):
     path, _ = folder
     got = corpus_pipeline.run(spark, path)
