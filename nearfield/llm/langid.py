@@ -3,7 +3,7 @@
 A text's letters are lower-cased; subwords of one to four letters (word ends marked) are hashed to
 buckets. A document is the average of its subwords' embeddings; a linear softmax gives the
 languages. Embeddings and softmax are trained together by stochastic gradient descent in numpy,
-on a bounded sample (``per_lang`` rows of each language, by hash). A fifth of the sample is kept
+on a bounded sample (``per_lang`` distinct rows of each language, by hash). A fifth of the sample is kept
 apart: it sets the temperature of the softmax, and the bar under which a prediction is rejected
 (the accepted ones are to have the accuracy ``wanted``). Embedding and softmax are multiplied out for
 prediction, so what is sent to the executors is buckets x languages numbers.
@@ -103,7 +103,7 @@ class Model:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 600, wanted: float = 0.995) -> Model:
     """A model from the rows of ``labelled`` whose text and lang are known."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
-    sample = bounded_sample(rows, "lang", "key", per_lang).filter("text is not null")
+    sample = bounded_sample(rows.filter("text is not null"), "lang", ["key", "text"], per_lang)
 
     def run(batches):
         for batch in batches:

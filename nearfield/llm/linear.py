@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize, small_side
+
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -57,16 +59,45 @@ def best_bar(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order][k] + after[k]) / 2)
 
 
-def bounded_sample(rows: DataFrame, group: str, key: str, cap: int) -> DataFrame:
-    """About ``cap`` rows of each non-null value of ``group``, chosen by a hash of the key: the same in every run.
+def place_of(columns: list[str]) -> Column:
+    """A number in [0, 2^62) that is fixed by the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit("sample")), 2)
+
 
-    The share of each group is taken from its count over all rows, so groups of any size give about cap rows, all if they have fewer.
-    The values of group must be few (languages, classes): their counts come to the driver.
+def bounded_sample(rows: DataFrame, group: str, columns: list[str], cap: int | Column) -> DataFrame:
+    """The ``cap`` rows of each non-null value of ``group`` whose hash of ``columns`` is least: the same in every run.
+
+    Exactly cap distinct rows of a group, or all of its rows if it has fewer; rows that are equal in ``columns`` count once.
+    Nothing comes to the driver. The bar of each group is found by a histogram of the hashes in bins that
+    widen by a 16th of an octave, so only about 1.05 cap hashes of a group are sorted, whatever its size. cap may be a column of the group.
+    """
+    marks = rows.filter(F.col(group).isNotNull()).select(group, place_of(columns).alias("place")).distinct()
+    marks = materialize(marks.withColumn("bin", F.floor(16 * F.log2(F.col("place") + 1.0)).cast("int")), "sample-marks")
+    upto = Window.partitionBy(group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = marks.groupBy(group, "bin").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    last = bins.filter(F.col("before") < cap).groupBy(group).agg(F.max("bin").alias("last"))
+    near = marks.join(last, group).filter(F.col("bin") <= F.col("last"))
+    order = F.row_number().over(Window.partitionBy(group).orderBy("place"))
+    bars = near.withColumn("order", order).filter(F.col("order") <= cap).groupBy(group).agg(F.max("place").alias("bar"))
+    bars = materialize(bars.withColumnRenamed(group, "of_group"), "sample-bars")
+    picked = rows.withColumn("place", place_of(columns)).join(small_side(bars), F.col(group) == F.col("of_group"))
+    return picked.filter(F.col("place") <= F.col("bar")).dropDuplicates([group, "place"]).select(*rows.columns)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, key: str, label: str, columns: list[str], cap: int, pool: int = 0) -> DataFrame:
+    """(y, columns) of at most ``cap`` labelled documents of each class, and with y = -1 ``pool`` documents without a label.
+
+    A key with several labels has the greatest. Keys are chosen first, among those of ``docs``, so texts are read once and
+    never shuffled; rows that repeat a chosen key are bounded by a second choice. Rows without a key aren't used.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(group).count().collect()}
-    share: Column = F.lit(0.0)
-    for value, n in counts.items():
-        if value is not None:
-            share = F.when(F.col(group) == value, min(1.0, cap / n)).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.filter(place < share)
+    keys = docs.select(F.col(key).alias("of")).filter("of is not null")
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    marked = keys.join(known, "of", "left").withColumn("y", F.coalesce("y", F.lit(-1))) if pool else known.join(keys, "of", "left_semi")
+    most = F.when(F.col("y") < 0, pool).otherwise(cap)
+    chosen = materialize(bounded_sample(marked, "y", ["of"], most).select("of", "y"), "training-keys")
+    n = chosen.count()
+    rows = docs.join(small_side(chosen, n), F.col(key) == F.col("of")).select("y", "of", *columns)
+    rows = materialize(rows, "training-rows")
+    if rows.count() > n:  # a key repeats
+        rows = materialize(bounded_sample(rows, "y", ["of", *columns], most), "training-sample")
+    return rows.select("y", *columns)

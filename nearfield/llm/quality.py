@@ -1,13 +1,14 @@
 """Quality by co-training of two views.
 
 The text view looks at the words: kinds of characters, word lengths, repetition, word shapes. The
-page view looks at what is known about the page and its layout: language, source, length, lines.
+page view looks at what is known about the page and its layout: language, source, length, sizes of
+lines; it looks at no word, sentence or punctuation, the text view at no line.
 Each view has a logistic regression. Over ``rounds`` rounds each labels the unlabelled sample, and
 the rows it is most sure of join the other's training rows. At the end each view is calibrated on
 labelled rows by out-of-fold predictions, and a small model of both log-odds scores all documents.
 
 Training uses bounded samples (``cap`` labelled rows of each class and ``pool`` unlabelled rows, by
-hash); every whole text is scored.
+hash, the unlabelled ones by an anti-join with all labels); every whole text is scored.
 
 Defined cases: null or empty text is rejected (its quality score is 0); null labels are not used; a
 key with several labels takes the best; without rows of both classes every other text is kept; a
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import linear
 from . import textarrays as ta
-from .common import slices, small_side
+from .common import slices
 
 _KIND = np.zeros(256, np.uint8)  # 0: symbol
 _KIND[[*range(97, 123), *range(128, 256)]] = 1
@@ -36,7 +37,7 @@ _KIND[[ord(c) for c in ".,;:!?'\"()-"]] = 5
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?"]] = True
 SHAPES = 48
-TEXT, PAGE = 6 + 12 + SHAPES, 12 + 16 + 32
+TEXT, PAGE = 6 + 12 + SHAPES, 10 + 16 + 32
 
 
 def _text_view(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -69,13 +70,12 @@ def _page_view(data: np.ndarray, n_chars: int | None, lang: str | None, source:
     lines = raw.split(b"\n")
     full = [s for s in lines if s.strip()]
     sizes = np.array([len(s) for s in full] or [0])
-    last = raw.rstrip()[-1:]
-    x[:12] = (
-        np.log1p(len(data)), np.log1p(n_chars or 0), np.log1p(len(full)), np.log1p(sizes.mean()), np.log1p(sizes.max()), np.log1p(sizes.std()), len(set(full)) / max(len(full), 1),
-        1 - len(full) / len(lines), (sizes < 40).mean(), np.mean([s.rstrip()[-1:] in b".!?" for s in full] or [0]), float(last in b".!?" and bool(last)), len(data) / max(n_chars or len(data), 1) - 1,
+    x[:10] = (
+        np.log1p(len(data)), np.log1p(n_chars or 0), np.log1p(len(full)), np.log1p(sizes.mean()), np.log1p(sizes.max()), np.log1p(sizes.std()),
+        len(set(full)) / max(len(full), 1), 1 - len(full) / len(lines), (sizes < 40).mean(), len(data) / max(n_chars or len(data), 1) - 1,
     )
-    _one_hot(x, 12, 16, lang)
-    _one_hot(x, 28, 32, source)
+    _one_hot(x, 10, 16, lang)
+    _one_hot(x, 26, 32, source)
     return x
 
 
@@ -112,17 +112,14 @@ class Model:
         return linear.sigmoid(linear.score(np.stack(odds, 1), self.both))
 
 
-def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, sure: float = 0.97, each: int = 200) -> Model:
-    """x: two views of labelled rows; pool: two views of unlabelled rows."""
-    scales = [(v.mean(0), v.std(0) + 1e-3) for v in x]
-    x = [(v - m) / s for v, (m, s) in zip(x, scales, strict=True)]
-    pool = [np.clip((v - m) / s, -20, 20) for v, (m, s) in zip(pool, scales, strict=True)]
+def _rounds(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int, sure: float, each: int) -> list[np.ndarray]:
+    """The two views' weights after they have labelled the pool for each other."""
     more = [(np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))]  # rows of the pool and pseudo-labels, for each view
     rate = max(y.mean(), 1e-3)
 
-    def fitted(v: int, own: np.ndarray | slice = slice(None)) -> np.ndarray:
+    def fitted(v: int) -> np.ndarray:
         rows, marks = more[v]
-        return linear.fit(np.vstack([x[v][own], pool[v][rows]]), np.concatenate([y[own], marks]), l2=5.0)
+        return linear.fit(np.vstack([x[v], pool[v][rows]]), np.concatenate([y, marks]), l2=5.0)
 
     for _ in range(rounds):
         weights = [fitted(v) for v in range(2)]
@@ -135,13 +132,25 @@ def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds:
             new = np.array(good + bad, int)
             marks = np.repeat([1.0, 0.0], [len(good), len(bad)])
             more[1 - v] = (np.concatenate([more[1 - v][0], new]), np.concatenate([more[1 - v][1], marks]))
-    part, odds = linear.folds(len(y), 4), np.zeros((len(y), 2))
-    for v in range(2):
-        for f in range(4):
-            odds[part == f, v] = linear.score(x[v][part == f], fitted(v, part != f))
+    return [fitted(v) for v in range(2)]
+
+
+def co_train(x: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, sure: float = 0.97, each: int = 200, k: int = 4) -> Model:
+    """x: two views of labelled rows; pool: two views of unlabelled rows.
+
+    Calibration: the rounds run anew without each fold, pseudo-labels included, and score that fold.
+    """
+    scales = [(v.mean(0), v.std(0) + 1e-3) for v in x]
+    x = [(v - m) / s for v, (m, s) in zip(x, scales, strict=True)]
+    pool = [np.clip((v - m) / s, -20, 20) for v, (m, s) in zip(pool, scales, strict=True)]
+    part, odds = linear.folds(len(y), k), np.zeros((len(y), 2))
+    for f in range(k):
+        weights = _rounds([v[part != f] for v in x], y[part != f], pool, rounds, sure, each)
+        for v in range(2):
+            odds[part == f, v] = linear.score(x[v][part == f], weights[v])
     both = linear.fit(odds, y, l2=0.1)
     p = linear.sigmoid(linear.score(odds, both))
-    return Model(scales, [fitted(v) for v in range(2)], both, 1 - linear.best_bar(1 - p, 1 - y))
+    return Model(scales, _rounds(x, y, pool, rounds, sure, each), both, 1 - linear.best_bar(1 - p, 1 - y))
 
 
 _COLUMNS = ("text", "n_chars", "lang", "source")
@@ -159,18 +168,15 @@ def _rows(docs: DataFrame, key: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", cap: int = 4000, pool: int = 4000) -> Model:
-    """A model from labelled rows and a pool of unlabelled ones."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    picked = small_side(linear.bounded_sample(known, "y", "of", cap))
-    marked = _rows(docs, key).join(picked, F.col("key") == F.col("of")).select("y", *_COLUMNS)
-    some = linear.bounded_sample(_rows(docs, key).select("*", F.lit(-1).alias("y")), "y", "key", pool).select("y", *_COLUMNS)
+    """A model from at most ``cap`` labelled rows of each class and ``pool`` rows without a label."""
+    some = linear.training_rows(_rows(docs, key), labels.select(F.col(key).alias("key"), F.col(label).alias("y_")), "key", "y_", list(_COLUMNS), cap, pool)
 
     def run(batches):
         for batch in batches:
             a, b = _views_of(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())], ["y", "a", "b"])
 
-    got = sorted((r.y, bytes(r.a), bytes(r.b)) for r in marked.unionByName(some).mapInArrow(run, "y int, a binary, b binary").collect())
+    got = sorted((r.y, bytes(r.a), bytes(r.b)) for r in some.mapInArrow(run, "y int, a binary, b binary").collect())
     y = np.array([g[0] for g in got], float)
     x = [np.frombuffer(b"".join(g[1 + v] for g in got), float).reshape(len(got), -1) if got else np.zeros((0, 1)) for v in range(2)]
     own = y >= 0

@@ -9,7 +9,9 @@ Terms are runs of letters and digits, lower-cased and hashed to 64 bits, and the
 longer ones (``PREFIXES`` bytes), so that a stem is known with endings it wasn't seen with. The
 vocabulary is the ``terms`` hashes that tell the last category's classes apart best (log-likelihood ratio of document
 counts); a document is the set of vocabulary terms that it has, and how dense they are. Training
-uses a bounded sample (``cap`` rows of each class, by hash); every whole text is scored.
+uses a bounded sample (``cap`` rows of each class, by hash); every whole text is scored. What is
+chosen with labels (vocabulary, derived categories, models) is chosen anew without each fold, and
+equal texts are in one fold, so out-of-fold probabilities have never seen the row's label.
 
 Where only one label is known, earlier categories are derived from it (see ``derived``): texts of
 the class that have several of the class's strongest terms (``hostile``), and texts with at
@@ -22,6 +24,8 @@ text is toxic; a null key is kept; repeated rows are scored each.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +33,12 @@ from pyspark.sql import functions as F
 
 from . import linear
 from . import textarrays as ta
-from .common import slices, small_side
-
+from .common import slices
 
 PREFIXES = (4, 5, 6)
+FOLDS = 4
+#: Terms of the sample whose counts are looked at: the ones that most of its documents have.
+CANDIDATES = 1 << 16
 
 
 def term_sets(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None):
@@ -57,22 +63,25 @@ def term_sets(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
             yield *np.unique(terms[a:b], return_counts=True), int(heads[i + 1] - heads[i])
 
 
-def vocabulary(sets: list[np.ndarray], y: np.ndarray, terms: int, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The term hashes that tell the classes apart best, sorted, and which speak for class 1 strongly."""
-    every = np.concatenate([np.zeros(0, np.uint64), *sets])
-    label = np.repeat(y, [len(s) for s in sets])
-    words, which = np.unique(every, return_inverse=True)
-    n1 = np.bincount(which, weights=label, minlength=len(words))
-    n0 = np.bincount(which, minlength=len(words)) - n1
-    total1, total0 = max(y.sum(), 1), max((1 - y).sum(), 1)
+def vocabularies(term: np.ndarray, counts: np.ndarray, totals: np.ndarray, terms: int, least: int = 4) -> dict[frozenset, tuple[np.ndarray, np.ndarray]]:
+    """For every set of folds, the term hashes that tell its classes apart best (sorted), and which speak for class 1 strongly.
+
+    counts: documents with each term by fold and class; totals: all documents by fold and class.
+    """
+    out = {}
     part = lambda n, m: n * np.log(np.maximum(n, 1e-9) / np.maximum(m, 1e-9))
-    share = (n1 + n0) / (total1 + total0)
-    gain = part(n1, share * total1) + part(n0, share * total0) + part(total1 - n1, (1 - share) * total1) + part(total0 - n0, (1 - share) * total0)
-    gain[n1 + n0 < least] = -1
-    best = np.sort(np.argsort(-gain, kind="stable")[:terms])
-    best = best[gain[best] > 6]
-    odds = np.log((n1[best] + 0.5) / (total1 + 1)) - np.log((n0[best] + 0.5) / (total0 + 1))
-    return words[best], odds > 2
+    for own in (list(s) for size in range(1, FOLDS + 1) for s in combinations(range(FOLDS), size)):
+        n0, n1 = counts[:, own].sum(1).T
+        total0, total1 = np.maximum(totals[own].sum(0), 1)
+        share = (n1 + n0) / (total1 + total0)
+        gain = part(n1, share * total1) + part(n0, share * total0) + part(total1 - n1, (1 - share) * total1) + part(total0 - n0, (1 - share) * total0)
+        gain[n1 + n0 < least] = -1
+        best = np.lexsort((term, -gain))[:terms]
+        best = best[gain[best] > 6]
+        best = best[np.argsort(term[best])]
+        odds = np.log((n1[best] + 0.5) / (total1 + 1)) - np.log((n0[best] + 0.5) / (total0 + 1))
+        out[frozenset(own)] = term[best], odds > 2
+    return out
 
 
 class Chain:
@@ -106,42 +115,76 @@ def derived(features: np.ndarray, strong: np.ndarray, y: np.ndarray) -> np.ndarr
     return np.stack([hostile, dense, y], 1)
 
 
-def train(x: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-    """The models of the chain, each with the earlier ones' out-of-fold probabilities as features."""
-    models, ahead = [], np.zeros((len(x), 0))
-    for y in labels.T:
-        own = np.hstack([x, ahead])
-        models.append(linear.fit(own, y))
-        ahead = np.hstack([ahead, linear.sigmoid(linear.out_of_fold(own, y))[:, None]])
-    return models
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", cap: int = 2500, terms: int = 256) -> Chain:
-    """A chain from the labelled rows; cap: rows of each class that are used at most (about)."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("of")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    picked = linear.bounded_sample(known, "y", "of", cap)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).join(small_side(picked), F.col("key") == F.col("of")).select("y", "text")
+def train(found: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray, part: np.ndarray, words: dict, order: list[str]) -> tuple[Chain, np.ndarray]:
+    """The chain of all rows, and every row's out-of-fold probabilities.
+
+    found: terms, their counts and the number of words of each row; part: its fold; words: from vocabularies().
+    A set of folds has a chain of its own: its vocabulary, its derived categories, and models that see the earlier
+    categories' probabilities as the chains without the row's fold give them. So no probability that a
+    model learns from, nor any that the bar is set on, comes from something that has seen the row's label.
+    """
+    chains: dict[frozenset, Chain] = {frozenset(): Chain(np.zeros(0, np.uint64), np.zeros(0, bool), order, [np.zeros(k + 2) for k in range(len(order))], 0.5)}
+    ahead = np.zeros((len(y), len(order)))
+    for own in sorted(words, key=lambda s: (len(s), sorted(s))):
+        chain = Chain(*words[own], order, [], 0.5)
+        rows = np.flatnonzero(np.isin(part, sorted(own)))
+        ahead = np.full((len(rows), len(order)), 0.5)
+        for f in own:
+            less, at = chains[own - {f}], np.flatnonzero(part[rows] == f)
+            if len(at):
+                ahead[at] = less.probabilities(np.stack([less.features(found[i]) for i in rows[at]]))
+        x = np.stack([chain.features(found[i]) for i in rows]) if len(rows) else np.zeros((0, len(chain.words) + 1))
+        for k, mark in enumerate(derived(x, chain.strong, y[rows]).T):
+            chain.models.append(linear.fit(np.hstack([x, ahead[:, :k]]), mark))
+        chains[own] = chain
+    return chain, ahead
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", cap: int = 4000, terms: int = 256) -> Chain:
+    """A chain from the labelled rows; cap: rows of each class that are used at most.
+
+    Terms are counted in DataFrames; the counts of the ``CANDIDATES`` commonest (chosen without labels), and then the
+    sample rows' vocabulary terms, come to the driver.
+    """
+    order = ["hostile", "dense", label]
+    texts = docs.select(F.col(key).alias("key_"), F.col(text).cast("string").alias("text"))
+    sample = linear.training_rows(texts, labels.select(F.col(key).alias("key_"), F.col(label).alias("y_")), "key_", "y_", ["text"], cap)
+    sample = sample.select("y", F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text")
 
-    def run(batches):
+    def count(batches):
         for batch in batches:
-            sets = list(term_sets(*ta.buffers(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s, _, _ in sets], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n, _ in sets], pa.binary()), pa.array([w for _, _, w in sets], pa.int64())], ["y", "terms", "n", "words"])
+            label, place = (batch.column(k).to_numpy() for k in (0, 1))
+            sets = [s for s, _, _ in term_sets(*ta.buffers(batch.column(2)))]
+            kind = np.repeat(2 * place + (label > 0), [len(s) for s in sets])
+            every = np.concatenate([np.zeros(0, np.uint64), *sets])
+            for k in np.unique(kind).tolist():
+                term, n = np.unique(every[kind == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), k, np.int32)), pa.array(n)], ["term", "kind", "n"])
 
-    got = sorted((r.y, bytes(r.terms), bytes(r.n), r.words) for r in rows.mapInArrow(run, "y int, terms binary, n binary, words long").collect())
-    y = np.array([g[0] for g in got], float)
-    found = [(np.frombuffer(t, np.uint64), np.frombuffer(n, np.int32), w) for _, t, n, w in got]
-    order = ["hostile", "dense", label]
     none = Chain(np.zeros(0, np.uint64), np.zeros(0, bool), order, [np.array([0.0] * (k + 1) + [-8.0]) for k in range(3)], 0.5)
-    if not 0 < y.sum() < len(y) or len(y) < 20:
+    totals = np.zeros((FOLDS, 2))
+    for r in sample.groupBy("fold", "y").count().collect():
+        totals[r.fold, int(r.y > 0)] += r["count"]
+    if totals.sum() < 20 or not totals.sum(0).all():
         return none
-    words, strong = vocabulary([t for t, _, _ in found], y, terms)
-    chain = Chain(words, strong, order, [], 0.5)
-    x = np.stack([chain.features(f) for f in found])
-    categories = derived(x, strong, y)
-    chain.models = train(x, categories)
-    ahead = np.zeros((len(x), 0))
-    for own in categories.T:
-        ahead = np.hstack([ahead, linear.sigmoid(linear.out_of_fold(np.hstack([x, ahead]), own))[:, None]])
+    sums = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c_{k}") for k in range(2 * FOLDS)]
+    counts = sample.mapInArrow(count, "term long, kind int, n long").groupBy("term").agg(F.sum("n").alias("every"), *sums).filter("every > 3")
+    counts = counts.orderBy(F.desc("every"), "term").limit(CANDIDATES).toArrow()
+    per_kind = np.stack([counts.column(f"c_{k}").to_numpy() for k in range(2 * FOLDS)], 1).astype(float)
+    words = vocabularies(counts.column("term").to_numpy().view(np.uint64), per_kind.reshape(-1, FOLDS, 2), totals, terms)
+    wanted = np.unique(np.concatenate([w for w, _ in words.values()]))
+
+    def look(batches):
+        for batch in batches:
+            sets = list(term_sets(*ta.buffers(batch.column(2)), wanted))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s, _, _ in sets], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n, _ in sets], pa.binary()), pa.array([w for _, _, w in sets], pa.int64())], ["y", "fold", "terms", "n", "words"])
+
+    got = sample.mapInArrow(look, "y int, fold int, terms binary, n binary, words long").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("fold", "y", "words", "terms", "n")])
+    y, part, size = (got.column(c).to_numpy() for c in ("y", "fold", "words"))
+    y = (y > 0).astype(float)
+    found = [(np.frombuffer(t.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int32), w) for t, n, w in zip(got.column("terms"), got.column("n"), size.tolist(), strict=True)]
+    chain, ahead = train(found, y, part, words, order)
     chain.bar = linear.best_bar(ahead[:, -1], y)
     return chain
 

@@ -127,3 +127,51 @@ def test_out_of_fold_models_have_not_seen_the_row():
     r = np.random.default_rng(2)
     x, y = r.normal(size=(120, 60)), r.integers(0, 2, 120).astype(float)
     assert ((linear.out_of_fold(x, y) > 0) == y).mean() < 0.7 < ((linear.score(x, linear.fit(x, y)) > 0) == y).mean()
+
+
+def test_bounded_sample(spark):
+    """A hot key, null groups, repeated rows: exactly the cap, or all distinct rows of a small group."""
+    rows = [(7, "same", "a")] * 4000 + [(7, f"t{i}", "a") for i in range(300)] + [(i, "x", "b") for i in range(40)] + [(None, "n", "b"), (1, "x", None)]
+    frame = spark.createDataFrame(rows, "key long, text string, group string")
+    got = linear.bounded_sample(frame, "group", ["key", "text"], 100).collect()
+    again = linear.bounded_sample(frame.repartition(3), "group", ["key", "text"], 100).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(set(got)) == len(got)
+    assert sum(r.group == "a" for r in got) == 100 and sum(r.group == "b" for r in got) == 41
+    assert linear.bounded_sample(frame.limit(0), "group", ["key"], 5).collect() == []
+
+
+def test_training_rows_are_bounded_and_the_pool_has_no_label(spark):
+    docs = spark.createDataFrame([(1, f"t{i}") for i in range(500)] + [(i, "u") for i in range(2, 60)] + [(None, "v")], "k long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)] + [(3, 1), (900, 1), (None, 1), (40, None)], "k long, y_ int")
+    got = linear.training_rows(docs, labels, "k", "y_", ["k", "text"], 50, 20).collect()
+    assert sum(r.y == 1 for r in got) == 50 and sum(r.y == 0 for r in got) == 14 and sum(r.y == -1 for r in got) == 20
+    assert all((r.y == -1) == (r.k >= 30) for r in got)
+
+
+def auc(p, y):
+    one, two = p[y == 1][:, None], p[y == 0][None]
+    return ((one > two) + 0.5 * (one == two)).mean()
+
+
+def test_random_labels_give_chance_out_of_fold(spark, monkeypatch):
+    """Nothing that was chosen with a row's label reaches the probabilities that the bar is set on."""
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, text(r, "xx", 40)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, r.randint(0, 1)) for i in range(600)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity.linear, "best_bar", lambda p, y: seen.append((p, y)) or 0.5)
+    toxicity.fit(docs, labels)
+    p, y = seen[0]
+    assert len(y) == 600 and 0.42 < auc(p, y) < 0.58
+
+
+def test_random_labels_give_chance_in_co_training(monkeypatch):
+    r = np.random.default_rng(6)
+    y = r.integers(0, 2, 400).astype(float)
+    x, pool = ([r.normal(size=(400, 30)) for _ in range(2)] for _ in range(2))
+    seen = []
+    monkeypatch.setattr(quality.linear, "fit", lambda z, marks, l2=1.0, own=linear.fit: seen.append((z, marks)) or own(z, marks, l2))
+    quality.co_train(x, y, pool, sure=0.7)
+    odds = next(z for z, marks in seen if z.shape[1] == 2 and len(marks) == 400)
+    for v in range(2):
+        assert 0.4 < auc(odds[:, v], y) < 0.6
