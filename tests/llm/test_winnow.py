@@ -9,20 +9,31 @@ from nearfield.llm import winnow
 K, W = winnow.K, winnow.WINDOW
 
 
+MASK = (1 << 64) - 1
+
+
+def hashed(spark, kind, values):
+    rows = spark.createDataFrame(list(enumerate(values)), f"i int, v {kind}").selectExpr("i", "xxhash64(v) h").orderBy("i").collect()
+    return [r.h for r in rows]
+
+
 def grams(spark, text):
-    """Hashes of the k-grams, as the engine hashes them."""
+    """Hashes of the k-grams, the rolling hash word by word: rotate, take the oldest word out, the next one in."""
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     if not words:
         return []
-    rows = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").selectExpr("i", "xxhash64(w) h").orderBy("i").collect()
-    h = [r.h for r in rows]
-    parts = [h[i : i + K] for i in range(len(h) - K + 1)] or [h]
-    mask = (1 << 39) - 1
+    h = hashed(spark, "string", words)
     if len(h) < K:
-        return [spark.createDataFrame([(parts[0],)], "a array<long>").selectExpr("xxhash64(a) x").first().x & mask]
-    columns = ", ".join(f"a[{j}]" for j in range(K))
-    found = spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "i int, a array<long>").selectExpr("i", f"xxhash64({columns}) x").orderBy("i").collect()
-    return [r.x & mask for r in found]
+        return hashed(spark, "array<long>", [h])
+    turn = lambda x, n: (x << n % 64 | x >> (64 - n) % 64) & MASK if n % 64 else x
+    state, out = 0, []
+    for i, x in enumerate(h):
+        state = turn(state, 1) ^ x & MASK
+        if i >= K:
+            state ^= turn(h[i - K] & MASK, K)
+        if i >= K - 1:
+            out.append(state - (1 << 64) if state >> 63 else state)
+    return hashed(spark, "long", out)
 
 
 def selected(h):
@@ -104,6 +115,25 @@ def test_odd_keys(spark):
 
 
 def test_bisection(spark):
-    starts = [-5, 0, 1, 7, 100]
-    rows = spark.createDataFrame([(i,) for i in range(-9, 120)], "k long").select("k", winnow.range_of(winnow.F.col("k"), starts).alias("at"))
-    assert all(r.at == max([0, *(i for i, s in enumerate(starts) if s <= r.k)]) for r in rows.collect())
+    starts = [(-5, 3), (0, -7), (0, 2), (1, 1), (7, 0), (100, 9)]
+    rows = [(i, j) for i in range(-9, 120) for j in (-9, 0, 1, 2, 8, 9)]
+    placed = spark.createDataFrame(rows, "k long, m long").select("k", "m", winnow.range_of(winnow.F.col("k"), winnow.F.col("m"), starts).alias("at"))
+    assert all(r.at == max([0, *(i for i, s in enumerate(starts) if s <= (r.k, r.m))]) for r in placed.collect())
+
+
+def test_other_lengths(spark):
+    """Any k and window: all windows by hand, on the hashes of the operator's own grams."""
+    text = " ".join(f"w{i * i % 7}" for i in range(90))
+    for k, window in ((1, 1), (2, 3), (3, 7), (4, 8), (7, 10)):
+        row = spark.createDataFrame([(text,)], "t string").select(winnow.kept(winnow.F.col("t"), k, window).alias("k"), winnow.kept(winnow.F.col("t"), k, 1).alias("all")).first()
+        every = row["all"]["hashes"]
+        assert len(every) == 90 - k + 1
+        want = {at + max(i for i in range(window) if every[at + i] == min(every[at : at + window])) for at in range(len(every) - window + 1)}
+        assert row.k["places"] == sorted(want) and row.k["hashes"] == [every[i] for i in sorted(want)]
+
+
+def test_long_unrelated_texts_share_nothing(spark):
+    """Whole hashes: a million words against a million others."""
+    made = spark.range(2).selectExpr("id doc_id", "array_join(transform(sequence(1, 1000000), i -> concat(if(id = 0, 'a', 'b'), i)), ' ') text")
+    got = {r.doc_id: r for r in winnow.compare_with_edited(made).collect()}
+    assert got[0].near_next == 0.0 and 0.3 < got[0].near_edited < 0.4
