@@ -59,7 +59,8 @@ def norm(x: Column) -> Column:
 
 def normalized(x: Column) -> Column:
     """x over its Euclidean norm; a zero vector stays."""
-    return F.transform(x, lambda v: F.when(norm2(x) > 0, v.cast("double") / norm(x)).otherwise(v.cast("double")))
+    over = lambda n: F.transform(x, lambda v: F.when(n > 0, v.cast("double") / n).otherwise(v.cast("double")))
+    return F.transform(F.array(norm(x)), over)[0]  # the norm is taken once a row
 
 
 def _log(v: Column) -> Column:

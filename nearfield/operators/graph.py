@@ -14,6 +14,9 @@ from ..tables import small, written
 from . import knn
 from .topk import top_k
 
+#: Of the hash by which a search chooses its first rows.
+SEED = 20_011
+
 
 def nn_descent(data: DataFrame, k: int, intermediate: int | None = None, iterations: int = 20, termination: float = 1e-4, metric: str = "l2_expanded", vector: str = "embedding", sample: int | None = None, seed: int = 1234) -> DataFrame:
     """Approximate neighbour graph: lists start with rows of a few random buckets, then neighbours of neighbours compete.
@@ -146,8 +149,8 @@ def _beam(rows: DataFrame, edges: DataFrame, queries: DataFrame, k: int, itopk:
     near = is_min_close(metric)
     scored = lambda c: c.select(*keys, "query_id", "vec_id", distance(F.col("q"), F.col("v"), metric).alias("distance"))
     # seeds: the rows of each graph that come first by a hash
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("vec_id", F.lit(0x128394)), "vec_id")) if keys else None
-    first = rows.withColumn("place", place).filter(F.col("place") <= seeds).drop("place") if keys else rows.orderBy(F.xxhash64("vec_id", F.lit(0x128394)), "vec_id").limit(seeds)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id")) if keys else None
+    first = rows.withColumn("place", place).filter(F.col("place") <= seeds).drop("place") if keys else rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(seeds)
     start = first.join(small(queries), list(keys)) if keys else first.crossJoin(small(queries))
     beam = written(top_k(scored(start), itopk, select_min=near).withColumn("open", F.lit(True)), "beam")
     seen = beam.select("query_id", "vec_id")

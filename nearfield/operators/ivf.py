@@ -1,7 +1,7 @@
 """Inverted-file indexes: whole vectors (flat) and product-quantised ones.
 
-Lists are rows with a ``list_id``; a search takes the closest ``n_probes`` centers of each query and
-joins the lists on ``list_id``, so tables written by list are pruned to what is probed.
+Lists are rows with a ``list_id``, stored by list when they are built or extended; a search takes the closest
+``n_probes`` centers of each query and joins the lists on ``list_id``, so only what is probed is read.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metrics import distance, is_min_close, metric_name
+from ..functions.metrics import distance, is_min_close, metric_name, normalized
 from ..tables import small, written
 from . import kmeans, knn
 from .filters import bitset_filter
@@ -30,6 +30,10 @@ def _train_rows(data: DataFrame, fraction: float, n_lists: int, most: int = 2_00
     return data if want >= n else sample_rows(data, want)
 
 
+def _unit(data: DataFrame, vector: str) -> DataFrame:
+    return data.withColumn(vector, normalized(F.col(vector)))
+
+
 class IvfFlat:
     """centers (cluster, center) on the driver; lists (list_id, vec_id, v)."""
 
@@ -41,10 +45,10 @@ class IvfFlat:
         metric = metric_name(metric)
         if metric not in METRICS:
             raise ValueError(f"unsupported metric: {metric}")
-        train = _train_rows(data, fraction, n_lists)
+        train = _unit(_train_rows(data, fraction, n_lists), vector) if metric == "cosine" else _train_rows(data, fraction, n_lists)
         model = kmeans.fit(train, n_lists, init, n_iters, 0.0, vector=vector) if init is not None else kmeans.fit_balanced(train, n_lists, n_iters, vector=vector)
         index = cls(model.centers, None, metric, adaptive)
-        index.lists = index._placed(data if add else data.limit(0), vector)
+        index.lists = written(index._placed(data if add else data.limit(0), vector), "ivf-lists", "list_id")
         return index
 
     def _placed(self, data: DataFrame, vector: str) -> DataFrame:
@@ -69,13 +73,13 @@ class IvfFlat:
 
     def extend(self, data: DataFrame, vector: str = "embedding") -> IvfFlat:
         """With new rows; adaptive indexes move each center to the mean of its old weight and its new rows."""
-        fresh = self._placed(data, vector)
+        fresh = written(self._placed(data, vector), "ivf-lists", "list_id")
         centers = self.centers
         if self.adaptive:
             old = np.zeros(len(centers))
             for r in self.sizes().collect():
                 old[r["list_id"]] = r["size"]
-            total, w, _ = kmeans._sums(kmeans._rows(data, vector, None), centers)
+            total, w, _ = kmeans._sums(kmeans._rows(_unit(data, vector) if self.metric == "cosine" else data, vector, None), centers)
             centers = np.where((old + w)[:, None] > 0, (centers * old[:, None] + total) / np.maximum(old + w, 1)[:, None], centers)
         return IvfFlat(centers, self.lists.unionByName(fresh), self.metric, self.adaptive)
 
@@ -112,16 +116,12 @@ class IvfFlat:
 
 
 def auto_pq_dim(dim: int) -> int:
-    """Half the dimension from 128 on, rounded down to a multiple of 32; else the largest power of two."""
-    if dim >= 128:
-        dim //= 2
-    r = dim // 32 * 32
-    if r:
-        return r
-    r = 1
-    while r * 2 <= dim:
-        r *= 2
-    return r
+    """The default number of subspaces: a multiple of 32 where one fits, else a power of two.
+
+    What has to fit is the dimension, from 128 on half of it.
+    """
+    room = dim if dim < 128 else dim // 2
+    return room - room % 32 if room >= 32 else 1 << (room.bit_length() - 1)
 
 
 def rotation_matrix(dim: int, pq_dim: int, force: bool = False, seed: int = 7) -> np.ndarray:
@@ -169,7 +169,7 @@ class IvfPq:
             raise ValueError("pq_bits * pq_dim must be a multiple of 8")
         train = _train_rows(data, fraction, n_lists)
         if metric == "cosine":
-            train = train.withColumn(vector, F.transform(vector, lambda v: v / F.sqrt(F.aggregate(vector, F.lit(1e-300), lambda a, b: a + b.cast("double") * b))))
+            train = _unit(train, vector)
         centers = kmeans.fit_balanced(train, n_lists, n_iters, vector=vector, seed=seed).centers
         rotation = rotation_matrix(dim, pq_dim, force_rotation)
         index = cls(centers, rotation, None, codebook == "per_cluster", None, metric)
@@ -186,7 +186,7 @@ class IvfPq:
             index.books = np.array(books)
         else:
             index.books = np.array([_lloyd(r[:, s * length : (s + 1) * length], codes, n_iters, seed) for s in range(pq_dim)])
-        index.lists = index.encode(data, vector)
+        index.lists = written(index.encode(data, vector), "pq-lists", "list_id")
         return index
 
     @property
@@ -224,7 +224,7 @@ class IvfPq:
         return self.centers, self.rotation, self.books, self.per_cluster
 
     def extend(self, data: DataFrame, vector: str = "embedding") -> IvfPq:
-        return IvfPq(*self._state(), self.lists.unionByName(self.encode(data, vector)), self.metric)
+        return IvfPq(*self._state(), self.lists.unionByName(written(self.encode(data, vector), "pq-lists", "list_id")), self.metric)
 
     def extend_list(self, list_id: int, coded: DataFrame) -> IvfPq:
         """With rows (vec_id, codes) put in one list."""

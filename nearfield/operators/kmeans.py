@@ -97,9 +97,9 @@ def initial(data: DataFrame, k: int, init: str | np.ndarray = "k-means++", vecto
                     if batch.num_rows:
                         _, d = _assign(_matrix(batch.column(1)), sent.value)
                         u = np.array([np.random.default_rng([seed, step, abs(int(i))]).random() for i in batch.column(0).to_pylist()])
-                        yield batch.filter(pa.array(u < want * d / phi))
+                        yield batch.append_column("u", pa.array(u)).filter(pa.array(u < want * d / phi))
 
-            more = data.select("vec_id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, v array<double>").orderBy("vec_id").limit(int(8 * want) + 8).collect()
+            more = data.select("vec_id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, v array<double>, u double").orderBy("u", "vec_id").limit(int(8 * want) + 8).collect()
             if more:
                 centers = np.vstack([centers, np.array([r.v for r in more])])
             cost = _sums(_rows(data, vector, None), centers)[2]

@@ -1,7 +1,8 @@
 """Exact nearest neighbours.
 
-Queries are cut into blocks that are broadcast; each task computes a block of distances with numpy
-and keeps k rows per query, so the shuffle carries k rows per query and task, whatever the data.
+At most ``QUERIES`` queries are broadcast as one block; each task computes a block of distances with
+numpy and keeps k rows per query, so the shuffle carries k rows per query and task, whatever the data.
+More queries are packed into blocks where they are, and every block meets every block of rows.
 Distances of what is kept are computed anew from differences in double precision: the matrix
 product only chooses, with a margin for its rounding.
 """
@@ -80,16 +81,38 @@ def block_top_k(ids: np.ndarray, v: np.ndarray, q_ids: np.ndarray, q: np.ndarray
     return tuple(np.concatenate(x) if x else np.zeros(0) for x in zip(*out, strict=True)) if out else (np.zeros(0),) * 3
 
 
-def _blocks(queries: DataFrame, query: str):
-    """Query blocks on the driver: ids and vectors of at most QUERIES rows each, by id."""
-    n = queries.count()
-    ids = queries.select("query_id", query)
-    if n <= QUERIES:
-        yield ids.toArrow()
-        return
-    parts = -(-n // QUERIES)
-    for p in range(parts):
-        yield ids.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow()
+def packed_blocks(rows: DataFrame, id_: str, vector: str, names: tuple[str, str], size: int) -> DataFrame:
+    """Rows as blocks of at most ``size`` of them: (ids, vectors), two binary columns, made where the rows are."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                ids, v = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], list(names))
+
+    return rows.select(F.col(id_).cast("long"), F.col(vector)).mapInArrow(run, f"{names[0]} binary, {names[1]} binary")
+
+
+def _many(rows: DataFrame, queries: DataFrame, query: str, k: int, metric: str) -> DataFrame:
+    """(query_id, vec_id, distance): every block of queries against every block of rows, on the executors.
+
+    Each pair of blocks gives k rows a query; a task cuts its own to k before they are shuffled.
+    """
+    blocks = written(packed_blocks(queries, "query_id", query, ("q_ids", "qs"), QUERIES), "query-blocks")
+    pairs = packed_blocks(rows, "vec_id", "v", ("ids", "vs"), 2 * QUERIES).crossJoin(blocks)
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+                v, q = np.frombuffer(row["vs"]).reshape(len(ids), -1), np.frombuffer(row["qs"]).reshape(len(q_ids), -1)
+                if v.shape[1] != q.shape[1]:
+                    raise ValueError("vectors of different dimension")
+                got = block_top_k(ids, v, q_ids, q, k, metric)
+                yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2].astype(float))], ["query_id", "vec_id", "distance"])
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, distance double")
 
 
 def search(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2_expanded", metric_arg: float = 2.0, allowed: DataFrame | Column | None = None, pairs: DataFrame | Column | None = None, vector: str = "embedding", query: str = "q") -> DataFrame:
@@ -100,37 +123,43 @@ def search(data: DataFrame, queries: DataFrame, k: int, metric: str = "l2_expand
     metric = metric_name(metric)
     if allowed is not None:
         data = filters.bitset_filter(data, allowed)
+    if isinstance(pairs, DataFrame):
+        both = pairs.select("query_id", "vec_id").distinct().join(small(queries.select("query_id", query)), "query_id").join(data.select("vec_id", F.col(vector).alias("v")), "vec_id")
+        both = both.select("query_id", "vec_id", distance(F.col(query), F.col("v"), metric, metric_arg).alias("distance"))
+        return top_k(both, k, select_min=is_min_close(metric)).select("query_id", "rank", "vec_id", "distance")
+    n = queries.count()
     if pairs is not None or metric not in BLOCK:
-        both = data.select("vec_id", F.col(vector).alias("v"), *[c for c in data.columns if c not in ("vec_id", vector)]).crossJoin(F.broadcast(queries) if queries.count() <= QUERIES else queries)
+        both = data.select("vec_id", F.col(vector).alias("v"), *[c for c in data.columns if c not in ("vec_id", vector)]).crossJoin(F.broadcast(queries) if n <= QUERIES else queries)
         if pairs is not None:
             both = filters.bitmap_filter(both, pairs)
         both = both.select("query_id", "vec_id", distance(F.col(query), F.col("v"), metric, metric_arg).alias("distance"))
         return top_k(both, k, select_min=is_min_close(metric)).select("query_id", "rank", "vec_id", "distance")
     spark = data.sparkSession
     rows = data.select(F.col("vec_id").cast("long"), F.col(vector).alias("v"))
-    found = None
-    for block in _blocks(queries, query):
-        sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), _matrix(block.column(1))))
-
-        def run(batches, sent=sent):
-            q_ids, q = sent.value
-            held: tuple | None = None
-            for batch in batches:
-                if not batch.num_rows or not len(q_ids):
-                    continue
-                ids, v = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
-                if v.shape[1] != q.shape[1]:
-                    raise ValueError("vectors of different dimension")
-                got = block_top_k(ids, v, q_ids, q, k, metric)
-                held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
-                if len(held[0]) > 8 * k * len(q_ids):
-                    held = _cut(held, k, metric)
-            if held is not None:
+    if n > QUERIES:
+        found = _many(rows, queries, query, k, metric)
+        return top_k(found, k, select_min=is_min_close(metric)).select("query_id", "rank", "vec_id", "distance")
+    block = queries.select("query_id", query).toArrow()
+    sent = spark.sparkContext.broadcast((block.column(0).to_numpy(), _matrix(block.column(1))))
+
+    def run(batches):
+        q_ids, q = sent.value
+        held: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows or not len(q_ids):
+                continue
+            ids, v = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            if v.shape[1] != q.shape[1]:
+                raise ValueError("vectors of different dimension")
+            got = block_top_k(ids, v, q_ids, q, k, metric)
+            held = got if held is None else tuple(np.concatenate(x) for x in zip(held, got, strict=True))
+            if len(held[0]) > 8 * k * len(q_ids):
                 held = _cut(held, k, metric)
-                yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int64)), pa.array(held[1].astype(np.int64)), pa.array(held[2].astype(float))], ["query_id", "vec_id", "distance"])
+        if held is not None:
+            held = _cut(held, k, metric)
+            yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int64)), pa.array(held[1].astype(np.int64)), pa.array(held[2].astype(float))], ["query_id", "vec_id", "distance"])
 
-        part = rows.mapInArrow(run, "query_id long, vec_id long, distance double")
-        found = part if found is None else found.unionByName(part)
+    found = rows.mapInArrow(run, "query_id long, vec_id long, distance double")
     return top_k(found, k, select_min=is_min_close(metric)).select("query_id", "rank", "vec_id", "distance")
 
 
@@ -217,12 +246,17 @@ def sparse_top_k(data: DataFrame, queries: DataFrame, k: int, metric: str = "inn
     """kNN over long-form sparse rows: data (vec_id, col_id, value), queries (query_id, col_id, value).
 
     Only columns that both sides have meet in the join. For the Euclidean and cosine metrics, rows
-    without a common column take part through their norms.
+    without a common column take part through their norms; for the inner product theirs is 0, and they are looked
+    at only for queries with fewer than k positive products. A row without any entry isn't in the long form.
     """
     metric = metric_name(metric)
     common = data.join(small(queries.withColumnRenamed("value", "q")), "col_id").groupBy("query_id", "vec_id").agg(F.sum(F.col("value").cast("double") * F.col("q").cast("double")).alias("dot"))
     if metric == "inner_product":
-        return top_k(common.withColumnRenamed("dot", "distance"), k, select_min=False).select("query_id", "rank", "vec_id", "distance")
+        common = written(common.withColumnRenamed("dot", "distance"), "sparse-common")
+        asked, few = queries.select("query_id").distinct(), F.coalesce("positive", F.lit(0)) < k
+        short = asked.join(common.filter("distance > 0").groupBy("query_id").agg(F.count("*").alias("positive")), "query_id", "left").filter(few).select("query_id")
+        none = data.select("vec_id").distinct().crossJoin(small(short)).join(common, ["query_id", "vec_id"], "left_anti").select("query_id", "vec_id", F.lit(0.0).alias("distance"))
+        return top_k(common.unionByName(none), k, select_min=False).select("query_id", "rank", "vec_id", "distance")
     size = lambda rows, key, name: rows.groupBy(key).agg(F.sum(F.col("value").cast("double") * F.col("value").cast("double")).alias(name))
     both = size(data, "vec_id", "vv").crossJoin(small(size(queries, "query_id", "qq"))).join(common, ["query_id", "vec_id"], "left").withColumn("dot", F.coalesce("dot", F.lit(0.0)))
     forms = {"l2_expanded": F.greatest(F.lit(0.0), F.col("vv") + F.col("qq") - 2 * F.col("dot")), "cosine": 1 - F.col("dot") / F.sqrt(F.col("vv") * F.col("qq"))}

@@ -1,7 +1,8 @@
 """Vector and label files: typed binary matrices, label lists, sparse label matrices.
 
-A matrix file has its row and column count (32 or 64 bit) and then the rows. Files are read in byte
-ranges: the driver looks at the header only, and each task reads its own rows.
+A matrix file has its row and column count (32 or 64 bit) and then the rows. Matrices and sparse label
+matrices of any size are read in byte ranges: the driver looks at the header only, and each task reads its own
+rows. Label text files are read whole, in one task, since their line numbers are the ids.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Element types by file suffix.
 TYPES = {"fbin": np.dtype("<f4"), "hbin": np.dtype("<f2"), "f16bin": np.dtype("<f2"), "ibin": np.dtype("<i4"), "u8bin": np.dtype("u1"), "i8bin": np.dtype("i1")}
+#: Bytes of a matrix that a task reads.
+BLOCK_BYTES = 1 << 26
 _SPARK = {"f": "float", "i": "int", "u": "int"}
 
 
@@ -40,6 +44,11 @@ class _File:
         finally:
             stream.close()
 
+    def uri(self) -> str:
+        """The qualified path as Arrow's file systems read it."""
+        uri = self.fs.makeQualified(self.path).toString()
+        return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
     def size(self) -> int:
         return self.fs.getFileStatus(self.path).getLen()
 
@@ -56,6 +65,12 @@ class _File:
             stream.close()
 
 
+def _opened(uri: str):
+    """A file at a URI, for reading at any place: local, HDFS, S3 or GCS. Runs on executors."""
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
 def shape(spark: SparkSession, path: str, header: str = "<ii") -> tuple[int, int]:
     return struct.unpack(header, _File(spark, path).head(struct.calcsize(header)))
 
@@ -71,19 +86,23 @@ def read_matrix(spark: SparkSession, path: str, header: str = "<ii", rows: int |
     stop = n if rows is None else min(n, start + rows)
     out = _SPARK[kind.kind]
     arrow = pa.float32() if out == "float" else pa.int32()
-    # fixed-length records need one length for the header too: the file is read as records of the row width, shifted by the header
-    raw = spark.read.format("binaryFile").load(path).select("content")
+    # blocks of rows, each read at its offset by the task that has it
+    size = max(1, (BLOCK_BYTES if width else 1) // max(width, 1))
+    blocks = -(-max(stop - start, 0) // size)
+    uri = _File(spark, path).uri()
 
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                data = memoryview(content.as_buffer())
-                for at in range(start, stop, 8192):
-                    end = min(at + 8192, stop)
-                    block = np.frombuffer(data[skip + at * width : skip + end * width], kind).reshape(end - at, dim)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, end)), pa.array(list(block.astype(np.float32 if out == "float" else np.int32)), pa.list_(arrow))], [id_, vector])
+            for block in batch.column(0).to_pylist():
+                first, last = start + block * size, min(start + (block + 1) * size, stop)
+                with _opened(uri) as f:
+                    f.seek(skip + first * width)
+                    for at in range(first, last, 8192):
+                        end = min(at + 8192, last)
+                        rows_ = np.frombuffer(f.read((end - at) * width), kind).reshape(end - at, dim)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, end)), pa.array(list(rows_.astype(np.float32 if out == "float" else np.int32)), pa.list_(arrow))], [id_, vector])
 
-    return raw.mapInArrow(run, f"{id_} long, {vector} array<{out}>")
+    return spark.range(0, blocks, 1, max(1, min(blocks, 10_000))).mapInArrow(run, f"{id_} long, {vector} array<{out}>")
 
 
 def write_matrix(rows: DataFrame, path: str, header: str = "<ii", id_: str = "vec_id", vector: str = "embedding") -> None:
@@ -117,18 +136,25 @@ def write_labels_txt(rows: DataFrame, path: str) -> None:
 
 def read_spmat(spark: SparkSession, path: str) -> DataFrame:
     """(vec_id, labels) of a sparse matrix file: three 64-bit counts, 64-bit row starts, 32-bit columns."""
+    file = _File(spark, path)
+    n, _, _ = struct.unpack("<qqq", file.head(24))
+    uri, size = file.uri(), BLOCK_BYTES // 64
+    blocks = -(-n // size)
+
     def run(batches):
         for batch in batches:
-            for content in batch.column(0):
-                data = memoryview(content.as_buffer())
-                n, _, nnz = struct.unpack("<qqq", data[:24])
-                starts = np.frombuffer(data, "<i8", n + 1, 24)
-                columns = np.frombuffer(data, "<i4", nnz, 24 + 8 * (n + 1))
-                for at in range(0, n, 8192):
-                    end = min(at + 8192, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, end)), pa.array([columns[starts[i] : starts[i + 1]] for i in range(at, end)], pa.list_(pa.int32()))], ["vec_id", "labels"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "vec_id long, labels array<int>")
+            for block in batch.column(0).to_pylist():
+                with _opened(uri) as f:
+                    for at in range(block * size, min((block + 1) * size, n), 8192):
+                        end = min(at + 8192, n, (block + 1) * size)
+                        f.seek(24 + 8 * at)
+                        starts = np.frombuffer(f.read(8 * (end - at + 1)), "<i8")
+                        f.seek(24 + 8 * (n + 1) + 4 * int(starts[0]))
+                        columns = np.frombuffer(f.read(4 * int(starts[-1] - starts[0])), "<i4")
+                        lists = pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), pa.array(columns))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, end)), lists], ["vec_id", "labels"])
+
+    return spark.range(0, blocks, 1, max(1, min(blocks, 10_000))).mapInArrow(run, "vec_id long, labels array<int>")
 
 
 def write_spmat(rows: DataFrame, path: str, n_labels: int) -> None:

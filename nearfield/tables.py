@@ -27,11 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: it cuts the lineage and survives lost executors.
+
+    by: a column by whose values the table is laid out, so that filters and joins on it prune folders.
+    """
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+    else:
+        df.hint("rebalance", by).write.partitionBy(by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -352,3 +352,72 @@ def test_sweeps(spark):
     assert got == [({"nlist": 4}, {"nprobe": 1, "itopk": 20}), ({"nlist": 16}, {"nprobe": 1, "itopk": 20}), ({"nlist": 16}, {"nprobe": 8, "itopk": 20})]
     rows = spark.createDataFrame([("a", 10.0, 0.5), ("b", 5.0, 0.4), ("c", 4.0, 0.9), ("d", 3.0, 0.9)], "setting string, qps double, recall double")
     assert {r.setting for r in measure.frontier(rows).collect()} == {"a", "c"}
+
+
+def without_edges(shards):
+    """The same shards, every graph emptied."""
+    import numpy as np
+
+    empty = F.udf(lambda ids, edges: np.full(len(edges) // 4, -1, np.int32).tobytes(), "binary")
+    return shards.withColumn("edges", empty("ids", "edges"))
+
+
+def test_label_search_needs_its_graphs(spark):
+    """Labels of 1,000 rows, a beam of 32: the recall is high, and falls when the graphs lose their edges."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(2000, 12))
+    data = spark.createDataFrame([(i, x.tolist(), [i % 2]) for i, x in enumerate(v)], "vec_id long, embedding array<float>, labels array<int>")
+    queries = data.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.lit(1).alias("query_label"))
+    index = label_index.LabelIndex.build(data, 50, degree=16)
+    truth = index.ground_truth(queries, 10)
+    assert stats.recall(index.search(queries, 10, itopk=32), truth).first()[0] >= 0.95
+    index.shards = without_edges(index.shards)
+    assert stats.recall(index.search(queries, 10, itopk=32), truth).first()[0] < 0.5
+
+
+def test_sparse_inner_product_counts_rows_without_a_common_column(spark):
+    data = spark.createDataFrame([(1, 0, 1.0), (2, 5, 3.0), (3, 0, -1.0), (4, 6, 1.0)], "vec_id long, col_id int, value double")
+    queries = spark.createDataFrame([(7, 0, 1.0), (8, 5, 1.0), (8, 0, 1.0)], "query_id long, col_id int, value double")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in knn.sparse_top_k(data, queries, 2).collect()}
+    assert got == {(7, 1): (1, 1.0), (7, 2): (2, 0.0), (8, 1): (2, 3.0), (8, 2): (1, 1.0)}
+
+
+def test_many_queries_meet_all_rows_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(300, 5)))], "vec_id long, embedding array<float>").repartition(3)
+    queries = data.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    for metric in ("l2_expanded", "inner_product"):
+        one = sorted(map(tuple, knn.search(data, queries, 4, metric).collect()))
+        monkeypatch.setattr(knn, "QUERIES", 17)
+        assert sorted(map(tuple, knn.search(data, queries, 4, metric).collect())) == one and len(one) == 1200
+        monkeypatch.undo()
+
+
+def test_a_matrix_is_read_by_many_tasks_at_their_offsets(spark, tmp_path, monkeypatch):
+    x = np.arange(1000 * 7, dtype="<f4").reshape(1000, 7)
+    path = f"{tmp_path}/x.fbin"
+    with open(path, "wb") as f:
+        f.write(np.array([1000, 7], "<i4").tobytes() + x.tobytes())
+    monkeypatch.setattr(bins, "BLOCK_BYTES", 28 * 64)
+    got = bins.read_matrix(spark, path)
+    assert got.rdd.getNumPartitions() == 16
+    assert {r.vec_id: r.embedding for r in got.collect()} == {i: x[i].tolist() for i in range(1000)}
+    part = bins.read_matrix(spark, path, rows=130, start=70)
+    assert part.rdd.getNumPartitions() == 3 and sorted(r.vec_id for r in part.collect()) == list(range(70, 200))
+
+
+def test_samples_have_their_size_and_repeat(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "vec_id")
+    for n in (0, 1, 37, 4999, 5000, 9000):
+        got = sorted(r.vec_id for r in topk.sample_rows(rows, n).collect())
+        assert len(got) == min(n, 5000) and got == sorted(r.vec_id for r in topk.sample_rows(rows.repartition(7), n).collect())
+    few = [r.vec_id for r in topk.sample_rows(rows, 500).collect()]
+    assert 2000 < np.mean(few) < 3000
+
+
+def test_built_lists_are_stored_by_list(spark):
+    r = np.random.default_rng(7)
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(size=(200, 8)))], "vec_id long, embedding array<float>")
+    for index in (ivf.IvfFlat.build(data, 4, 3, 1.0, metric="cosine"), ivf.IvfPq.build(data, 4, 3, 1.0, pq_dim=4, pq_bits=4)):
+        plan = index.lists.filter("list_id = 2")._jdf.queryExecution().toString()
+        assert "PartitionFilters: [isnotnull(list_id" in plan and "MapInArrow" not in plan
