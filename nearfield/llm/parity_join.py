@@ -39,8 +39,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textarrays as ta
 from .common import bounded_batches, materialize, partitions, slices, small_side
@@ -49,6 +50,9 @@ U = np.uint64
 SLOTS = 1 << 20  # of the count of chunks: 4 MB, whatever the input
 SMALL = 16  # classes of a chunk that is searched by all its pairs
 FEW = 4  # partners of a set in a large chunk that are all tried at once
+HOT_COPIES = 100_000  # rows of a class that is joined by broadcast: there is at most one for so many rows
+HOT = 1 << 20  # codes in a part of the index; classes of a chunk that isn't split
+FILTER = 1 << 26  # places of the filter of keys whose sets are needed
 BLOCK = 2048  # classes of a chunk that are searched at once
 FIRST = 3  # partners that a set is tried against before the open chunks are searched
 _SALT = ta.mix(np.arange(1, 65, dtype=np.uint64) * U(0xD1B54A32D192ED03)) | U(1)
@@ -146,28 +150,32 @@ def _text(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, a: int, b: int, k: int) -> DataFrame:
-    """(doc_id, n, cid) of every row, and rows (block, counts) with how often chunks occur, by slot."""
+    """(doc_id, n, cid) of every row, with the dense sketch where a task first sees the class, and rows (block, counts) with how often chunks occur, by slot."""
 
     steps = size_steps(a, b)
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts, seen = np.zeros(SLOTS, np.int64), set()
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, marks = [], [], []
             for s in shingle_sets(*ta.buffers(batch.column(1)), k):
                 sizes.append(len(s))
                 ids.append(class_id(s, steps) if len(s) else None)
+                marks.append(sketch(s).tobytes() if len(s) and ids[-1] not in seen else None)
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(ids[-1])
                 for band in bands(len(s), a, b) if len(s) else ():
                     np.add.at(counts, (elements(s, band) >> U(44)).astype(np.int64), 1)
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         blocks = [x for x in range(0, SLOTS, SLOTS // 32) if counts[x : x + SLOTS // 32].any()]
         m = len(blocks)
         if m:
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([x // (SLOTS // 32) for x in blocks], pa.int32()), pa.array([counts[x : x + SLOTS // 32].astype(np.uint32).tobytes() for x in blocks], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([x // (SLOTS // 32) for x in blocks], pa.int32()), pa.array([counts[x : x + SLOTS // 32].astype(np.uint32).tobytes() for x in blocks], pa.binary())], names)
 
-    names = ["doc_id", "n", "cid", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id long, n long, cid long, block int, counts binary")
+    names = ["doc_id", "n", "cid", "bits", "block", "counts"]
+    return docs.mapInArrow(run, "doc_id long, n long, cid long, bits binary, block int, counts binary")
 
 
 def common_counts(parts: DataFrame) -> np.ndarray:
@@ -193,17 +201,20 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
 
     A small chunk gives all its pairs, a larger one its members, and as pairs only each member with
     the one before it in the order of sizes. Pairs of unfit sizes are left out at once; pairs are
-    distinct within a task's part.
+    distinct within a task's part. Chunks with the same members are one: elem is a hash of the members.
 
-    Codes travel as packed arrays, dealt out by code; a class is sent once by each task that has it.
+    Codes travel as packed arrays, dealt out by code; a class is sent once by each task that has it. The
+    number of parts grows with the number of codes, and a code that more than ``HOT`` classes may have is dealt
+    out by class as well: such a chunk keeps its code as elem and gives members only, and chains of each part.
     """
     spark = docs.sparkSession
-    parts, steps = 8 * partitions(spark), size_steps(a, b)
-    sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.uint32))
+    parts, steps = max(8 * partitions(spark), int(counts.sum() // HOT)), size_steps(a, b)
+    sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 32) - 1).astype(np.uint32))
 
     def emit(codes, ids):
         codes, ids = np.concatenate(codes), np.concatenate(ids)
-        part = ((codes >> U(4)) % U(parts)).astype(np.int32)
+        share = (sent.value[(codes >> U(44)).astype(np.int64)] // HOT).astype(np.uint64)
+        part = (((codes >> U(4)) + ta.mix(ids.view(np.uint64)) % (share + U(1))) % U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         part, codes, ids = part[order], codes[order], ids[order]
         heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
@@ -223,7 +234,8 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
                 need = reach(len(s), a, b) + 1
                 for band in bands(len(s), a, b):
                     e = elements(s, band)
-                    order = np.argsort((rank[(e >> U(44)).astype(np.int64)].astype(np.uint64) << U(40)) | (e >> U(24)), kind="stable")[:need]
+                    common = np.minimum(rank[(e >> U(44)).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
+                    order = np.argsort((common << U(40)) | (e >> U(24)), kind="stable")[:need]
                     codes.append(e[order])
                     ids.append(np.full(len(order), cid, np.int64))
                     held += len(order)
@@ -242,43 +254,73 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
         codes, ids = codes[fresh], ids[fresh]
         heads = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         sizes = np.diff(np.append(heads, len(codes)))
+        split = sent.value[(codes[heads] >> U(44)).astype(np.int64)] >= HOT
+        # chunks with the same members: the first of them stands for all
+        elem = np.add.reduceat(ta.mix(ids.view(np.uint64) ^ _SALT[13]), heads)
+        elem = np.where(split, codes[heads], ta.mix(elem + sizes.astype(np.uint64)))
+        _, first = np.unique(elem, return_index=True)
+        first = np.sort(first)
+        keep = np.repeat(np.isin(np.arange(len(heads)), first), sizes)
+        ids, elem, split, sizes = ids[keep], elem[first], split[first], sizes[first]
+        heads = np.cumsum(sizes) - sizes
         pairs = [np.zeros((2, 0), np.int64)]
         for size in range(2, SMALL + 1):
-            own = ids[heads[sizes == size][:, None] + np.arange(size)]
+            own = ids[heads[(sizes == size) & ~split][:, None] + np.arange(size)]
             one, two = np.triu_indices(size, 1)
             pairs.append(np.stack([own[:, one].ravel(), own[:, two].ravel()]))
-        many = np.repeat(sizes > SMALL, sizes)
+        many = np.repeat((sizes > SMALL) | split, sizes)
         later = many & (np.arange(len(ids)) != np.repeat(heads, sizes))
         pairs.append(np.stack([ids[np.flatnonzero(later) - 1], ids[later]]))
         pairs = np.concatenate(pairs, 1)
         pairs = np.sort(pairs[:, np.abs((pairs[0] & 127) - (pairs[1] & 127)) <= 1], axis=0)
         pairs = np.unique(pairs, axis=1)
         n, m = pairs.shape[1], int(many.sum())
-        columns = [pa.concat_arrays([pa.array(pairs[0]), pa.array(ids[many])]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(codes[many].view(np.int64))])]
+        elems = np.repeat(elem, sizes)[many].view(np.int64)
+        columns = [pa.concat_arrays([pa.array(pairs[0]), pa.array(ids[many])]), pa.concat_arrays([pa.array(pairs[1]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(elems)])]
         return pa.table(columns, ["x", "y", "elem"])
 
     packed = docs.mapInArrow(index, "part int, codes binary, ids binary")
     return packed.groupBy("part").applyInArrow(meet, "x long, y long, elem long")
 
 
-def sets_of(docs: DataFrame, needed: DataFrame, k: int, what: str, steps: np.ndarray) -> DataFrame:
-    """(cid, n, hashes or bits) of classes, from one text of each. needed: (of, cid), one row a class.
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Which of ``FILTER`` places the keys (of) are hashed to: packed bits, 8 MB at any size."""
+    place = key_place("of")
+    words = keys.filter("of is not null").groupBy(F.shiftright(place, 6).cast("int").alias("word"))
+    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(FILTER // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def key_place(column: str) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit("place")), F.lit(FILTER)).cast("long")
+
+
+def sets_of(docs: DataFrame, needed: DataFrame, k: int, steps: np.ndarray) -> DataFrame:
+    """(cid, n, hashes) of classes, from one text of each. needed: (of, cid), one row a class; of: the least key that has the class.
 
-    doc_id may repeat in docs with other texts; only the text of the class counts. Classes whose
-    rows all have a null key are looked up by class.
+    No text is shuffled: texts are read where they are, those whose key can't be needed (by ``key_filter``) or that a
+    task had before are left out, and the sets of the others meet ``needed`` by class.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(needed))
 
     def run(batches):
+        bits, seen = sent.value, set()
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), shingle_sets(*ta.buffers(batch.column(1)), k), strict=True)
-            found = [(own, len(s), (s if what == "hashes" else sketch(s)).tobytes()) for cid, s in pairs if len(s) and (own := class_id(s, steps)) == (own if cid is None else cid)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["cid", "n", what])
+            place = batch.column(1).to_numpy(zero_copy_only=False)
+            may = ((bits[place >> 6] >> (place & 63).astype(np.uint64)) & U(1)).astype(bool) | np.array(batch.column(0).is_null())
+            found = []
+            for s in shingle_sets(*ta.buffers(batch.column(2).filter(pa.array(may))), k):
+                if len(s) and (cid := class_id(s, steps)) not in seen:
+                    if len(seen) >= 200_000:
+                        seen.clear()
+                    seen.add(cid)
+                    found.append((cid, len(s), s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["cid", "n", "hashes"])
 
-    schema = f"cid long, n long, {what} binary"
-    rows = docs.join(small_side(needed.filter("of is not null")), F.col("doc_id") == F.col("of")).select("doc_id", "text", "cid")
-    unkeyed = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("cid")).mapInArrow(run, schema)
-    unkeyed = unkeyed.join(needed.filter("of is null").select("cid"), "cid", "left_semi")
-    return rows.mapInArrow(run, schema).unionByName(unkeyed)
+    made = docs.select("doc_id", key_place("doc_id").alias("place"), "text").mapInArrow(run, "cid long, n long, hashes binary")
+    return made.join(small_side(needed.select("cid")), "cid", "left_semi").dropDuplicates(["cid"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
@@ -341,11 +383,14 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
     class, each with the one below it. What is still larger is cut into blocks; each pair of
     blocks is searched as one run of rows, whole runs in one task, many runs to a task.
     """
-    large = open_chunks.groupBy("elem").agg((F.count("*") > BLOCK).alias("large"))
+    # only chunks above BLOCK are cut, and they are few: at most a BLOCK-th of the rows, so that their names can be sent to all rows
     step = F.col("cid").bitwiseAND(127).cast("int")
-    rows = open_chunks.join(large, "elem").withColumn("step", F.explode(F.when(F.col("large"), F.array(step, step + 1)).otherwise(F.array(F.lit(0)))))
-    sizes = rows.groupBy("elem", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, ["elem", "step"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    large = open_chunks.groupBy("elem").count().filter(F.col("count") > BLOCK).select("elem")
+    busy = small_side(materialize(large.withColumn("large", F.lit(True)), "join-large"))
+    rows = open_chunks.join(busy, "elem", "left").withColumn("step", F.explode(F.when(F.col("large"), F.array(step, step + 1)).otherwise(F.array(F.lit(0)))))
+    sizes = rows.filter("large").groupBy("elem", "step").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(small_side(materialize(sizes, "join-sizes")), ["elem", "step"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("elem", "step", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     rows = rows.join(known, "cid").select("elem", "step", "i", "j", "own", "cid", "comp", "n", "bits")
     rows = rows.repartition(4 * partitions(open_chunks.sparkSession), "elem", "step", "i", "j").sortWithinPartitions("elem", "step", "i", "j", "cid")
@@ -410,10 +455,10 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
     return rows.mapInArrow(runs, "x long, y long, elem long").distinct()
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
-    """(key, n_shingles, component_id) of every row: component_id is the least key reachable by links.
+def components_of(docs: DataFrame, key: str, text: str, k: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, cid) of every row; and (cid, copies, component_id, kept) of the classes of components with more than one row.
 
-    Two documents link when b * |intersection| >= a * |union| for threshold (a, b).
+    kept: the class of the component's least key (without any key, the least class).
     """
     a, b = threshold
     steps = size_steps(a, b)
@@ -426,15 +471,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
 
     pairs = chunks.filter("elem is null").select("x", "y").distinct()
     nodes = chunks.select(F.col("x").alias("cid")).union(chunks.filter("elem is null").select("y")).distinct()
-    needed = materialize(own.join(nodes, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("of")), "join-needed")
-    # rows that repeat a key and a text give a class more than once
-    sketches = materialize(sets_of(rows, needed, k, "bits", steps).dropDuplicates(["cid"]), "join-sketches")
+    nodes = small_side(materialize(nodes, "join-nodes"))
+    # a text that many rows have is one row from here on
+    per_class = materialize(own.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "join-firsts")
+    needed = per_class.select("cid", F.col("least").alias("of"))
+    sketches = parts.filter("bits is not null").select("cid", "n", "bits").join(nodes, "cid", "left_semi").dropDuplicates(["cid"])
+    sketches = materialize(sketches, "join-sketches")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are linked: only the sets that occur in a pair are made and moved."""
         pairs = materialize(pairs.select("x", "y"), "join-pairs")
         ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
-        sets = materialize(sets_of(rows, needed.join(small_side(ends), "cid", "left_semi"), k, "hashes", steps), "join-sets")
+        sets = materialize(sets_of(rows, materialize(needed.join(small_side(ends), "cid", "left_semi"), "join-needed"), k, steps), "join-sets")
         return materialize(verified(pairs, sets, a, b), "join-linked")
 
     best = F.row_number().over(Window.partitionBy("y").orderBy("apart", "x"))
@@ -452,7 +500,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
         return materialize(comp.join(merged.select(F.col("cid").alias("comp"), F.col("comp").alias("root")), "comp").select("cid", F.col("root").alias("comp")), "join-joined")
 
     comp = joined(linked(across(near.filter(F.col("place") > FIRST).select("x", "y"))))
-    members = chunks.filter("elem is not null").select("elem", F.col("x").alias("cid"))
+    members = chunks.filter("elem is not null").select("elem", F.col("x").alias("cid")).distinct()
     for few in (FEW, None):
         placed = members.join(comp, "cid")
         mixed = placed.groupBy("elem").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("elem")
@@ -464,24 +512,71 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t
     comp = comp.withColumnRenamed("comp", "root")
 
     # least key of each component, for classes that have more than one row or chunk
-    per_class = own.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    groups = per_class.join(comp, "cid", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "cid"))
-    roots = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(groups.select("cid", "root").join(roots, "root").select("cid", "component_id"), "join-named")
-    out = own.select("doc_id", "n", "cid").join(named, "cid", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    groups = per_class.join(comp, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    roots = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.min(F.struct(F.col("least").isNull(), "least", "cid")).alias("first"), F.sum("copies").alias("rows"))
+    roots = roots.filter("rows > 1").select("root", "component_id", F.col("first.cid").alias("kept"))
+    return own, materialize(groups.join(roots, "root").select("cid", "copies", "component_id", (F.col("cid") == F.col("kept")).alias("kept")), "join-named")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those whose group has a smaller key, in the same columns.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+    """(key, n_shingles, component_id) of every row: component_id is the least key reachable by links.
 
-    Of rows that repeat both key and text one stays; rows without a key stay.
+    Two documents link when b * |intersection| >= a * |union| for threshold (a, b).
     """
-    found = materialize(join(docs, key, text, **options).select(F.col(key).alias("of"), "component_id"), "join-found")
-    gone = found.filter("of != component_id").select("of").distinct()
-    twice = found.filter("of is not null").groupBy("of").count().filter("count > 1").select("of")
-    left = docs.join(small_side(gone), F.col(key) == F.col("of"), "left_anti")
-    if twice.isEmpty():
-        return left
-    twice = small_side(twice)
-    return left.join(twice, F.col(key) == F.col("of"), "left_anti").unionByName(left.join(twice, F.col(key) == F.col("of"), "left_semi").dropDuplicates([key, text]))
+    found = _found(*components_of(docs, key, text, k, threshold))
+    return found.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _found(own: DataFrame, named: DataFrame) -> DataFrame:
+    """``own`` with component_id, null for rows that are alone.
+
+    A class with very many rows would be one key of the join: such classes are few, and are sent to all rows.
+    """
+    hot = F.broadcast(materialize(named.filter(F.col("copies") > HOT_COPIES).select("cid", "component_id"), "join-hot"))
+    rest = named.filter(F.col("copies") <= HOT_COPIES).select("cid", "component_id")
+    return own.join(hot, "cid").unionByName(own.join(hot, "cid", "left_anti").join(rest, "cid", "left"), allowMissingColumns=True)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or with as many underscores as it takes to be none of the columns."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+    """One row of each group of rows that links connect, the one with the least key, in the same columns.
+
+    Rows that share a key, and rows without one, are told apart by their text's class: of each group the least class of
+    the least key stays, once. Rows without words stay (those that repeat key and text, once).
+    """
+    own, named = components_of(docs, key, text, k, threshold)
+    of, cid = free_name(docs.columns, "of"), free_name(docs.columns, "cid")
+    found = materialize(_found(own, named).select(F.col("doc_id").alias(of), (F.col("doc_id") != F.col("component_id")).alias("gone")), "join-found")
+    odd = materialize(found.filter(F.col(of).isNotNull()).groupBy(of).count().filter("count > 1").select(of), "join-odd")
+    drop = small_side(materialize(found.filter("gone").select(of).join(odd, of, "left_anti"), "join-gone"))
+    if odd.isEmpty() and found.filter(F.col(of).isNull()).isEmpty():
+        return docs.join(drop, F.col(key) == F.col(of), "left_anti")
+    return _told_apart(docs, key, text, k, threshold, named, small_side(odd), drop, of, cid)
+
+
+def _told_apart(docs: DataFrame, key: str, text: str, k: int, threshold: tuple[int, int], named: DataFrame, odd: DataFrame, drop: DataFrame, of: str, cid: str) -> DataFrame:
+    """one_of_each() where keys repeat or are null: only those rows get their class, and are chosen by it."""
+    steps, at = size_steps(*threshold), docs.columns.index(text)
+
+    def classed(batches):
+        for batch in batches:
+            ids = [class_id(s, steps) if len(s) else None for s in shingle_sets(*ta.buffers(batch.column(at)), k)]
+            yield batch.append_column(cid, pa.array(ids, pa.int64()))
+
+    keyed = docs.filter(F.col(key).isNotNull())
+    plain = keyed.join(odd, F.col(key) == F.col(of), "left_anti").join(drop, F.col(key) == F.col(of), "left_anti")
+    rows = keyed.join(odd, F.col(key) == F.col(of), "left_semi").unionByName(docs.filter(F.col(key).isNull()))
+    rows = rows.mapInArrow(classed, StructType([*docs.schema.fields, StructField(cid, LongType())]))
+    other, kept = free_name([*docs.columns, of, cid], "class"), free_name([*docs.columns, of, cid], "kept")
+    least = free_name([*docs.columns, of, cid], "least")
+    rows = rows.join(named.select(F.col("cid").alias(other), F.col("kept").alias(kept), F.col("component_id").alias(least)), F.col(cid) == F.col(other), "left")
+    # a class that isn't named is in one row only
+    rows = rows.filter(F.col(other).isNull() | F.col(kept) & F.col(key).eqNullSafe(F.col(least)))
+    once = rows.filter(F.col(cid).isNotNull()).dropDuplicates([cid]).unionByName(rows.filter(F.col(cid).isNull() & F.col(key).isNotNull()).dropDuplicates([key, text]))
+    return plain.unionByName(once.unionByName(rows.filter(F.col(cid).isNull() & F.col(key).isNull())).select(*docs.columns))

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfield.llm import parity_join
+from nearfield.llm import common, parity_join
 from nearfield.llm import textarrays as ta
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,9 +65,14 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
-    rows = corpus(seed)
+@pytest.mark.parametrize("large", [False, True])
+def test_against_all_pairs(spark, monkeypatch, large):
+    """Also by the plans of large inputs: nothing is broadcast, and common chunks and classes are split."""
+    if large:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(parity_join, "HOT", 24)
+        monkeypatch.setattr(parity_join, "HOT_COPIES", 10)
+    rows = corpus(1 + large)
     assert run(spark, rows) == brute(rows)
 
 
@@ -98,9 +103,12 @@ def test_odd_keys(spark):
 
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other words are in this one"), (3, "other words are in this one"), (4, None), (None, "lone")]
-    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    rows += [(6, "a b c d e f g h"), (6, "lone"), (None, "a b c d e f g h"), (None, "only here"), (None, "only here"), (7, "only HERE")]
+    docs = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, of string, cid int")
     got = sorted(((r.doc_id, r.text) for r in parity_join.one_of_each(docs).collect()), key=str)
-    assert got == sorted([(1, rows[0][1]), (3, rows[3][1]), (4, None), (None, "lone")], key=str)
+    assert got == sorted([(1, rows[0][1]), (3, rows[3][1]), (4, None), (6, "lone"), (7, "only HERE")], key=str)
+    lone = docs.filter("doc_id is null")
+    assert sorted(r.text for r in parity_join.one_of_each(lone).collect()) == ["a b c d e f g h", "lone", "only here"]
 
 
 numbers = st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=300, unique=True)
