@@ -172,17 +172,30 @@ def tiles(image: np.ndarray, height: int, width: int):
 
 
 #: Columns that ``features`` returns after the key.
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, thumb_sha256 string"
+SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, thumb_sha256 string, n_tiles long, tiles_sha256 string"
+#: Rows of a tile.
+TILE = 1024
 
 
-def payload_features(payload: bytes) -> tuple:
-    """Store padded bytes as PGM, read the stored bytes back, and describe both."""
+def media(payload: bytes) -> bytes:
+    """A payload, padded with zeros to whole rows of ``WIDTH`` samples (one at least), as a PGM file."""
     padded = payload + bytes(-len(payload) % WIDTH or (0 if payload else WIDTH))
-    stored = encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))
+    return encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))
+
+
+def payload_features(payload: bytes) -> tuple:
+    """Store a payload as media, decode it into NPY tiles, read the payload back from the tiles, and describe all of them."""
+    stored = media(payload)
     image = decode(stored)
-    back = image.tobytes()
+    digest, back_digest, n, last, size = hashlib.sha256(), hashlib.sha256(), 0, b"", 0
+    for _, _, data in tiles(image, TILE, WIDTH):
+        digest.update(data)
+        body = np.load(io.BytesIO(data), allow_pickle=False).tobytes()
+        back_digest.update(body)
+        n, last, size = n + 1, body[-64:], size + len(body)
     thumb = np.rint(resize(image, 16, 16)).astype(np.uint8)
-    return (len(payload), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), hashlib.sha256(npy(thumb)).hexdigest())
+    thumb_digest = hashlib.sha256(b"".join(data for _, _, data in tiles(thumb, 16, 16))).hexdigest()
+    return (len(payload), size, back_digest.hexdigest(), zlib.crc32(last), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), thumb_digest, n, digest.hexdigest())
 
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

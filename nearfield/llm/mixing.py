@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, small_side
 
+#: White space, if any.
+BLANK = r"[\x20\x09-\x0D]*"
 FINE, COARSE = 1 << 16, 1 << 8
 
 
@@ -125,8 +127,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0, quality: DataFrame | None = None, quality_weights: tuple[float, float, float] = (0.25, 0.5, 1.0), key: str = "doc_id", text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken, in the same columns.
 
-    A document of which the budget takes a part is cut after so many words (joined by single
-    spaces), and ``length`` is counted anew. quality and quality_weights are as in ``mix``; texts
+    A document of which the budget takes a part is cut at the end of so many words, its white space kept, and ``length`` is counted anew. quality and quality_weights are as in ``mix``; texts
     are shuffled only to join a quality that is too large to broadcast.
     """
     sized = materialize(placed(docs, quality, quality_weights, key, text, source), "mix-sized")
@@ -135,7 +136,9 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     both = _elsewhere(rows).unionByName(at_end(rows))
     copies = both.withColumn("words", F.explode(F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>")))))
     cut = F.col("words") < F.col("size")
-    short = F.array_join(F.slice(F.regexp_extract_all(f"kept_{text}", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")), " ")
+    # a word with the white space before it, so that what is kept is the text's own beginning
+    pieces = F.regexp_extract_all(f"kept_{text}", F.lit(BLANK + WORD), F.lit(0))
+    short = F.array_join(F.slice(pieces, F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")), "")
     copies = copies.withColumn(f"kept_{text}", F.when(cut, short).otherwise(F.col(f"kept_{text}")))
     if length in docs.columns:
         copies = copies.withColumn(f"kept_{length}", F.when(cut, F.char_length(f"kept_{text}")).otherwise(F.col(f"kept_{length}")).cast(docs.schema[length].dataType))

@@ -123,8 +123,8 @@ def elements(shingles: np.ndarray, band: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The dense sketch for Hamming distances: two bits for each chunk of the set's own band (2,048 at least)."""
-    bits = 2 * 4 ** (max((len(shingles).bit_length() - 1) // 2, 4) + 1)
+    """The dense sketch for Hamming distances: two bits for each chunk of the set's own band (128 at least)."""
+    bits = 2 * 4 ** (max((len(shingles).bit_length() - 1) // 2, 2) + 1)
     out = np.zeros(bits, np.uint8)
     np.bitwise_xor.at(out, (shingles >> U(65 - bits.bit_length())).astype(np.int64), 1)
     return np.packbits(out)
@@ -320,7 +320,9 @@ def sets_of(docs: DataFrame, needed: DataFrame, k: int, steps: np.ndarray) -> Da
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.binary())], ["cid", "n", "hashes"])
 
     made = docs.select("doc_id", key_place("doc_id").alias("place"), "text").mapInArrow(run, "cid long, n long, hashes binary")
-    return made.join(small_side(needed.select("cid")), "cid", "left_semi").dropDuplicates(["cid"])
+    n = needed.count()
+    made = materialize(made.join(small_side(needed.select("cid"), n), "cid", "left_semi"), "join-sets")
+    return made if made.count() <= n else materialize(made.dropDuplicates(["cid"]), "join-sets")  # rows repeat a key, or a copy passed the filter
 
 
 def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
@@ -482,7 +484,7 @@ def components_of(docs: DataFrame, key: str, text: str, k: int, threshold: tuple
         """Those of the pairs that are linked: only the sets that occur in a pair are made and moved."""
         pairs = materialize(pairs.select("x", "y"), "join-pairs")
         ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
-        sets = materialize(sets_of(rows, materialize(needed.join(small_side(ends), "cid", "left_semi"), "join-needed"), k, steps), "join-sets")
+        sets = sets_of(rows, materialize(needed.join(small_side(ends), "cid", "left_semi"), "join-needed"), k, steps)
         return materialize(verified(pairs, sets, a, b), "join-linked")
 
     best = F.row_number().over(Window.partitionBy("y").orderBy("apart", "x"))

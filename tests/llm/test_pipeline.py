@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
         kind = r.choice(["good"] * 6 + ["junk", "toxic"])
         if kind == "toxic":
             words = [w if r.random() < 0.8 else r.choice(["mukk", "grobb"]) for w in words]
-        text = " ".join(w + "###" * (kind == "junk") for w in words)
+        text = "".join(w + "###" * (kind == "junk") + r.choice([" ", " ", "\n", "\t\t"]) for w in words)
         if i % 10 == 9 and kind == "good" and rows[-1][5] == "good":
             text = rows[-1][1]
         rows.append((i, text, "en", f"src{i % 3}", len(text), kind))
@@ -60,8 +60,10 @@ def test_mixing_takes_what_the_quality_weights_say(spark, folder):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
     taken = {x[0]: 0 for x in rows}
+    texts = {x[0]: x[1] for x in rows}
     for r in corpus_pipeline.mixing_stage(spark, docs, path).collect():
         taken[r.doc_id] += len(r.text.split())
+        assert texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
     assert taken == {x[0]: x[4] for x in mix_brute([(x[0], x[1], x[3]) for x in rows], labels)}
 
 
