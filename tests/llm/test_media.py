@@ -15,13 +15,14 @@ RNG = np.random.default_rng(0)
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=700))
 def test_payloads(payload):
-    n, size, digest, crc, stored, stored_digest, feature, thumb = media.payload_features(payload)
+    n, size, digest, crc, stored, stored_digest, feature, thumb, n_tiles, tiles = media.payload_features(payload)
     padded = payload + bytes((-len(payload)) % 64 or (64 if not payload else 0))
     assert n == len(payload) and size == len(padded) and size % 64 == 0 and size > 0
     assert digest == hashlib.sha256(padded).hexdigest() and crc == zlib.crc32(padded[-64:])
     file = b"P5\n64 %d\n255\n" % (size // 64) + padded
     assert stored == len(file) and stored_digest == hashlib.sha256(file).hexdigest()
-    assert len(feature) == 16 and media.payload_features(payload) == (n, size, digest, crc, stored, stored_digest, feature, thumb)
+    assert len(feature) == 16 and media.payload_features(payload) == (n, size, digest, crc, stored, stored_digest, feature, thumb, n_tiles, tiles)
+    assert n_tiles == -(-size // (media.TILE * media.WIDTH)) and len(tiles) == 64
 
 
 def test_netpbm_kinds():

@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
         kind = r.choice(["good"] * 6 + ["junk", "toxic"])
         if kind == "toxic":
             words = [w if r.random() < 0.8 else r.choice(["mukk", "grobb"]) for w in words]
-        text = "".join(w + "###" * (kind == "junk") + r.choice([" ", " ", "\n", "\t\t"]) for w in words)
+        text = "".join(w + "###" * (kind == "junk") + (" ", " ", "\n", "\t\t")[k % 4] for k, w in enumerate(words))
         if i % 10 == 9 and kind == "good" and rows[-1][5] == "good":
             text = rows[-1][1]
         rows.append((i, text, "en", f"src{i % 3}", len(text), kind))
