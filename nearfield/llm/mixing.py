@@ -61,7 +61,8 @@ def placed(docs: DataFrame, quality: DataFrame | None, quality_weights: tuple[fl
         worth, least = F.lit(mid), mid
     else:
         known = quality.groupBy(F.col(key).alias("doc_id")).agg(F.max("quality").alias("quality"))
-        sized = sized.join(known, "doc_id", "left")
+        known = materialize(known, "mix-quality")
+        sized = sized.join(small_side(known), "doc_id", "left")
         worth, least = F.when(F.col("quality") == 0, low).when(F.col("quality") == 1, high).otherwise(mid), min(quality_weights)
     sized = sized.withColumn("key", -F.ln(uniform(F.col("doc_id"))) / worth)
     place = 1 - F.exp(-F.col("key") * F.lit(least))
