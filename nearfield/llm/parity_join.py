@@ -123,8 +123,8 @@ def elements(shingles: np.ndarray, band: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """The dense sketch for Hamming distances: two bits for each chunk of the set's own band (128 at least)."""
-    bits = 2 * 4 ** (max((len(shingles).bit_length() - 1) // 2, 2) + 1)
+    """The dense sketch for Hamming distances: one bit for each chunk that the set's own band can have, one to four for a shingle (64 at least)."""
+    bits = 4 ** (max((len(shingles).bit_length() - 1) // 2, 2) + 1)
     out = np.zeros(bits, np.uint8)
     np.bitwise_xor.at(out, (shingles >> U(65 - bits.bit_length())).astype(np.int64), 1)
     return np.packbits(out)
@@ -216,11 +216,13 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
         share = (sent.value[(codes >> U(44)).astype(np.int64)] // HOT).astype(np.uint64)
         part = (((codes >> U(4)) + ta.mix(ids.view(np.uint64)) % (share + U(1))) % U(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        part, codes, ids = part[order], codes[order], ids[order]
+        part, ids = part[order], ids[order]
+        # the part tells the rest: a code travels as 40 bits
+        short = np.ascontiguousarray((codes[order] >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
         heads = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
         for x in range(0, len(heads), 256):
             some = list(zip(heads[x : x + 256], [*heads[x + 1 : x + 257], len(part)][: len(heads[x : x + 256])], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[[i for i, _ in some]]), pa.array([codes[i:j].tobytes() for i, j in some], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in some], pa.binary())], ["part", "codes", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[[i for i, _ in some]]), pa.array([short[i:j].tobytes() for i, j in some], pa.binary()), pa.array([ids[i:j].tobytes() for i, j in some], pa.binary())], ["part", "codes", "ids"])
 
     def index(batches):
         rank, seen, codes, ids, held = sent.value, set(), [], [], 0
@@ -246,8 +248,9 @@ def shared_chunks(docs: DataFrame, counts: np.ndarray, a: int, b: int, k: int) -
             yield from emit(codes, ids)
 
     def meet(table: pa.Table) -> pa.Table:
-        codes = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("codes")])
-        ids = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")])
+        short = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 5) for x in table.column("codes")])
+        codes = np.ascontiguousarray(np.pad(short, ((0, 0), (0, 3)))).view("<u8").ravel() << U(24)
+        ids = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids")])
         order = np.lexsort((ids, ids & 127, codes))  # by size class within a chunk
         codes, ids = codes[order], ids[order]
         fresh = np.append(True, (codes[1:] != codes[:-1]) | (ids[1:] != ids[:-1]))
