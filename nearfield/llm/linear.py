@@ -76,6 +76,7 @@ def bounded_sample(rows: DataFrame, group: str, columns: list[str], cap: int | C
     upto = Window.partitionBy(group).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = marks.groupBy(group, "bin").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
     last = bins.filter(F.col("before") < cap).groupBy(group).agg(F.max("bin").alias("last"))
+    last = small_side(materialize(last, "sample-last"))  # a row for each group: sent to the hashes, so that these stay where they are
     near = marks.join(last, group).filter(F.col("bin") <= F.col("last"))
     order = F.row_number().over(Window.partitionBy(group).orderBy("place"))
     bars = near.withColumn("order", order).filter(F.col("order") <= cap).groupBy(group).agg(F.max("place").alias("bar"))
