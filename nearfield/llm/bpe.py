@@ -3,7 +3,8 @@
 Pre-tokenisation works on arrays: every code point gets a class, look-ahead turns classes into
 symbols, and the automaton of the split pattern is run by an associative scan: each block of
 symbols is reduced to the transition function it applies (a map from state to state), functions
-are composed from block to block, and a second pass reads the token starts. No regex is used.
+are composed from block to block, and a second pass reads the token starts. No text is matched
+by a regex; the class table alone, made once a process, takes three of the library's.
 The slices found are hashed; each distinct slice is merged once and kept in a bounded cache.
 Offsets (tokens per piece, bytes per token) are kept, and decoding gathers the bytes back.
 
@@ -18,10 +19,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from functools import cache
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .common import slices
 
+# Fixed value: the split pattern that the automaton below states.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 # Classes of code points.
 LETTER, NUMBER, OTHER, BLANK, SPACE, QUOTE = range(6)
 # Symbols: a class with what follows it. _LAST: white space before something else.
@@ -129,6 +136,40 @@ def token_starts(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found.T.ravel()[:n])
 
 
+def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one slice: its own if it has one, else what is left when no two neighbours can be joined.
+
+    The pair of least rank goes first, of equal ones the leftmost. A heap holds the pairs, so a slice of n
+    bytes takes n log n steps; an entry whose pair has changed since is passed over.
+    """
+    if (own := ranks.get(piece)) is not None:
+        return [own]
+    n = len(piece)
+    after, before = array("q", range(1, n + 1)), array("q", range(-1, n))
+    pair = array("q", [ranks.get(piece[i : i + 2], -1) for i in range(n - 1)] + [-1])
+    heap = [rank * n + i for i, rank in enumerate(pair) if rank >= 0]
+    heapify(heap)
+    while heap:
+        rank, at = divmod(heappop(heap), n)
+        if pair[at] != rank:
+            continue
+        pair[after[at]] = -1
+        after[at] = after[after[at]]
+        before[after[at]] = at
+        for left in (before[at], at):
+            if left >= 0 and after[left] < n:
+                pair[left] = ranks.get(piece[left : after[after[left]]], -1)
+                if pair[left] >= 0:
+                    heappush(heap, pair[left] * n + left)
+            elif left >= 0:
+                pair[left] = -1
+    out, at = [], 0
+    while at < n:
+        out.append(ranks[piece[at : after[at]]])
+        at = after[at]
+    return out
+
+
 class Codec:
     """Encoder and decoder for one file of ranks."""
 
@@ -136,11 +177,8 @@ class Codec:
     KEPT = 400_000
 
     def __init__(self, content: bytes):
-        import tiktoken
-
         pairs = [line.split() for line in content.splitlines() if line]
-        ranks = {base64.b64decode(a): int(b) for a, b in pairs}
-        self.core = tiktoken._tiktoken.CoreBPE(ranks, {}, r"[\s\S]+")
+        self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         size = max(ranks.values()) + 1
         self.lengths, self.places = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for token, rank in ranks.items():
@@ -186,12 +224,12 @@ class Codec:
         fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             body, first = data.tobytes(), len(self.slots)
-            merged = [self.core.encode_single_piece(body[a:b]) for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)]
-            sizes = np.array([len(x) for x in merged])
+            found = [merged(body[a:b], self.ranks) for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)]
+            sizes = np.array([len(x) for x in found])
             self._room(first + len(fresh), self.used + int(sizes.sum()))
             self.counts[first : first + len(fresh)] = sizes
             self.offsets[first : first + len(fresh)] = self.used + np.cumsum(sizes) - sizes
-            self.pool[self.used : self.used + int(sizes.sum())] = np.concatenate([np.array(x, np.uint32) for x in merged])
+            self.pool[self.used : self.used + int(sizes.sum())] = np.concatenate([np.array(x, np.uint32) for x in found])
             self.used += int(sizes.sum())
             slots[fresh] = np.arange(first, first + len(fresh))
             self.slots.update(zip(distinct[fresh].tolist(), slots[fresh].tolist(), strict=True))
@@ -217,7 +255,7 @@ class Codec:
                 self.clear()
                 for a, b in zip(at[:-1], at[1:], strict=True):
                     starts, ends = self.pieces(part[a:b], np.array([0, b - a]))
-                    own = [np.array(self.core.encode_single_piece(part[a + x : a + y].tobytes()), np.uint32) for x, y in zip(starts, ends, strict=True)]
+                    own = [np.array(merged(part[a + x : a + y].tobytes(), self.ranks), np.uint32) for x, y in zip(starts, ends, strict=True)]
                     own = np.concatenate([np.zeros(0, np.uint32), *own])
                     yield own, self.decode(own)[0]
                 continue
@@ -233,6 +271,8 @@ def codec(content: bytes) -> Codec:
 
 def _content(docs: DataFrame, ranks: str):
     """The rank file's bytes (a fixed file of under 1 MB), sent once to each executor."""
+    if public_tokenizers.PATTERN != PATTERN:
+        raise ValueError("the automaton states another split pattern than the vocabulary's")
     with open(ranks, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -44,6 +44,20 @@ def test_against_the_library(own, reference):
     check(own, reference, texts)
 
 
+def test_merging_of_any_bytes(own, reference):
+    r = random.Random(4)
+    slices = [bytes(r.choices(b"aaabeinrst \xc3\xa9\xff\x00", k=r.randint(1, 60))) for _ in range(3000)]
+    slices += [b"a" * 20_001, b"ab" * 5000, bytes(r.choices(range(97, 123), k=30_000)), bytes(r.choices(range(256), k=9000))]
+    for piece in slices:
+        assert bpe.merged(piece, own.ranks) == reference._core_bpe.encode_single_piece(piece), piece[:80]
+
+
+def test_another_pattern_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(public_tokenizers, "PATTERN", r"\S+")
+    with pytest.raises(ValueError):
+        bpe.encode_digests(spark.createDataFrame([(1, "x")], "doc_id long, text string"), PATH)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=6))
 def test_any_text(own, reference, texts):
