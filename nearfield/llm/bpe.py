@@ -74,12 +74,13 @@ def _classes() -> np.ndarray:
     """
     import tiktoken
 
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     out = np.full(0x110000, OTHER, np.uint8)
     single = {bytes([i]): i for i in range(256)}
     for pattern, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
-        kept = bytes(tiktoken._tiktoken.CoreBPE(single, {}, pattern).encode_ordinary(every))
-        out[ta.codepoints(np.frombuffer(kept, np.uint8))] = kind
+        kept = tiktoken._tiktoken.CoreBPE(single, {}, pattern).encode_ordinary
+        for first in range(0, 0x110000, 1 << 14):  # a list of ids takes eight times the bytes
+            block = "".join(chr(c) for c in range(first, first + (1 << 14)) if not 0xD800 <= c < 0xE000)
+            out[ta.codepoints(np.frombuffer(bytes(kept(block)), np.uint8))] = kind
     out[32], out[39] = BLANK, QUOTE
     return out
 
