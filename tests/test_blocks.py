@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import blocks, metrics
 from nearfield.operators import graph, knn, label_index, linkage, sharded, spectral, stats
 
-BINARY = ("hamming", "russellrao", "dice")
+BINARY = ("hamming", "russellrao", "jaccard", "dice")
 SHARES = ("hellinger", "jensenshannon")
 
 
