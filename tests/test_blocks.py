@@ -8,7 +8,7 @@ from nearfield.functions import blocks, metrics
 from nearfield.operators import graph, knn, label_index, linkage, sharded, spectral, stats
 
 BINARY = ("hamming", "russellrao", "jaccard", "dice")
-SHARES = ("hellinger", "jensenshannon")
+SHARES = ("hellinger", "kl_divergence", "jensenshannon")
 
 
 def vectors(spark, n, dim, seed=0):
