@@ -48,3 +48,18 @@ def test_rounding():
     x = np.array([0.0000005, -0.0000005, 1.0000004, -0.0000001, np.nan, np.inf, 2.5])
     got = blocks.rounded(x, 6)
     assert np.array_equal(got, [0.000001, -0.000001, 1.0, 0.0, np.nan, np.inf, 2.5], equal_nan=True) and not np.signbit(got[3])
+
+
+@pytest.mark.parametrize("queries", [7, 4096])
+def test_l1_search(spark, monkeypatch, queries):
+    monkeypatch.setattr(knn, "QUERIES", queries)
+    x, data = vectors(spark, 120, 6)
+    asked = data.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = knn.search(data, asked, 5, "l1")
+    assert "zip_with" not in plan(found)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.distance) for r in found.collect()}
+    for q in range(0, 120, 4):
+        d = np.abs(x.astype(float) - x[q].astype(float)).sum(1)
+        for rank, i in enumerate(np.lexsort((np.arange(120), d))[:5], 1):
+            assert got[q, rank] == (i, pytest.approx(d[i]))
+    assert len(got) == 150
