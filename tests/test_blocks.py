@@ -63,3 +63,16 @@ def test_l1_search(spark, monkeypatch, queries):
         for rank, i in enumerate(np.lexsort((np.arange(120), d))[:5], 1):
             assert got[q, rank] == (i, pytest.approx(d[i]))
     assert len(got) == 150
+
+
+def test_closest_pairs_of_components(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 13)
+    x, data = vectors(spark, 90, 4)
+    colors = data.select("vec_id", F.when(F.col("vec_id") != 80, F.col("vec_id") % 7).cast("int").alias("color"))
+    near = knn.cross_component_nearest(data, colors)
+    assert "zip_with" not in plan(near) and dict(near.dtypes)["color"] == "int"
+    d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    for r in near.collect():
+        want = min((d[i, j], i, j) for i in range(90) for j in range(90) if i % 7 == r.color and j % 7 != r.color and 80 not in (i, j))
+        assert (r.src, r.dst) == want[1:] and r.distance == pytest.approx(want[0])
+    assert near.count() == 7
