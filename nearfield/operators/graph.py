@@ -1,11 +1,14 @@
 """Neighbour graphs: building, pruning, connecting, searching and extending them.
 
 A graph is an edge table (src, rank, dst, distance); per-label graphs have a label column before
-it. All steps are joins and per-source top-k; nothing collects a graph to the driver.
+it. All steps are joins and per-source top-k; nothing collects a graph to the driver but the links of
+components, up to a fixed number.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from ..tables import small, written
 from . import knn
 from .topk import top_k
 
+#: Links whose components are found on the driver.
+LINKS = 500_000
 #: Of the hash by which a search chooses its first rows.
 SEED = 20_011
 
@@ -108,8 +113,34 @@ def build(data: DataFrame, degree: int = 64, intermediate: int = 128, algorithm:
     return connected(data, edges, vector) if connect else edges
 
 
+def united(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, least id that each reaches) of the ids in links, by passing minima along links and jumping ahead."""
+    ids, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = place[: len(src)], place[len(src) :]
+    comp = np.arange(len(ids))
+    while len(a):
+        low = np.minimum(comp[a], comp[b])
+        new = comp.copy()
+        for end in (comp[a], comp[b]):  # whole components take the lesser name
+            np.minimum.at(new, end, low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        new = new[comp]
+        a, b = a[new[a] != new[b]], b[new[a] != new[b]]
+        comp = new
+    return ids, ids[comp]
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(vec_id, comp): the least id that links (src, dst) reach."""
+    """(vec_id, comp): the least id that links (src, dst) reach. Up to ``LINKS`` links are united on the driver (16 bytes each), more by joins."""
+    links = written(links.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src != dst"), "links")
+    if links.count() <= LINKS:
+        table = links.toArrow()
+        found = dict(zip(("vec_id", "comp"), united(*(table.column(c).to_numpy() for c in ("src", "dst"))), strict=True))
+        named = nodes.sparkSession.createDataFrame(pa.table(found), "vec_id long, comp long") if links.count() else None
+        if named is None:
+            return nodes.select("vec_id", F.col("vec_id").alias("comp"))
+        return written(nodes.select("vec_id").join(named, "vec_id", "left").select("vec_id", F.coalesce("comp", "vec_id").alias("comp")), "comp")
     both = written(links.select("src", "dst").union(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "comp-links")
     comp = written(nodes.select("vec_id", F.col("vec_id").alias("comp")), "comp")
     while True:

@@ -76,3 +76,13 @@ def test_closest_pairs_of_components(spark, monkeypatch):
         want = min((d[i, j], i, j) for i in range(90) for j in range(90) if i % 7 == r.color and j % 7 != r.color and 80 not in (i, j))
         assert (r.src, r.dst) == want[1:] and r.distance == pytest.approx(want[0])
     assert near.count() == 7
+
+
+def test_components_of_few_links_take_few_rounds(spark, monkeypatch):
+    """A path of 300 rows, as links and by joins."""
+    nodes = spark.range(302).withColumnRenamed("id", "vec_id")
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)][::-1], "src long, dst long")
+    calls = []
+    monkeypatch.setattr(graph, "written", lambda df, name, by=None: calls.append(name) or df)
+    got = {r.vec_id: r.comp for r in graph.components(nodes, links).collect()}
+    assert got == {i: 0 if i <= 300 else 301 for i in range(302)} and len(calls) <= 2
