@@ -1,6 +1,7 @@
 """Single-linkage clustering: a minimum spanning tree by rounds of nearest edges, then merges in order.
 
-The tree's rounds are joins; its n - 1 edges, sorted, are merged by one union-find (the result of
+The tree's rounds are joins of an edge table or, for all pairs, searches in which every block of rows
+meets every block and which keep a row per component: pairs are never stored. The tree's n - 1 edges, sorted, are merged by one union-find (the result of
 single linkage is a sequence), which is why ``MAX_ROWS`` bounds the rows that can be clustered.
 """
 
@@ -11,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import distance
+from ..functions.metrics import distance, metric_name
 from ..tables import written
 from . import graph, knn
 
@@ -29,8 +30,34 @@ def distance_graph(data: DataFrame, linkage: str = "knn_graph", c: int = 15, met
     return near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "distance").dropDuplicates(["src", "dst"])
 
 
-def spanning_tree(data: DataFrame, edges: DataFrame, metric: str = "l2_sqrt_expanded", vector: str = "embedding") -> DataFrame:
-    """(src, dst, distance) of a minimum spanning tree; components without an edge between them are bridged by their nearest rows."""
+def all_pairs_tree(data: DataFrame, metric: str = "l2_sqrt_expanded", vector: str = "embedding") -> DataFrame:
+    """spanning_tree() over all pairs, for Euclidean distances.
+
+    Rows with equal vectors are linked to the one with the least id, and only this one is searched for.
+    """
+    rows = written(data.select("vec_id", F.col(vector).alias("embedding")), "mst-rows")
+    least = rows.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    firsts = written(least.select(F.col("least").alias("vec_id"), "embedding", "copies"), "mst-firsts")
+    copies = rows.join(firsts.filter("copies > 1").select("embedding", F.col("vec_id").alias("src")), "embedding").filter("vec_id != src")
+    tree = written(copies.select("src", F.col("vec_id").alias("dst"), F.lit(0.0).alias("distance")), "mst-copies")
+    d = F.sqrt("distance") if "sqrt" in metric else F.col("distance")
+    colors = firsts.select("vec_id", F.col("vec_id").alias("color"))
+    while True:
+        near = knn.cross_component_nearest(firsts, colors)
+        best = written(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), d.alias("distance")).distinct(), "mst-best")
+        if best.isEmpty():
+            return tree
+        tree = tree.unionByName(best)
+        ends = best.join(colors.select(F.col("vec_id").alias("src"), F.col("color").alias("a")), "src").join(colors.select(F.col("vec_id").alias("dst"), F.col("color").alias("b")), "dst")
+        merged = graph.components(colors.select(F.col("color").alias("vec_id")).distinct(), ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        colors = written(colors.join(merged.select(F.col("vec_id").alias("color"), "comp"), "color").select("vec_id", F.col("comp").alias("color")), "mst-colors")
+
+
+def spanning_tree(data: DataFrame, edges: DataFrame | None, metric: str = "l2_sqrt_expanded", vector: str = "embedding") -> DataFrame:
+    """(src, dst, distance) of a minimum spanning tree; components without an edge between them are bridged by their nearest rows. edges: None for all pairs."""
+    if edges is None and metric_name(metric).startswith("l2"):
+        return all_pairs_tree(data, metric_name(metric), vector)
+    edges = distance_graph(data, "pairwise", metric=metric, vector=vector) if edges is None else edges
     nodes = written(data.select("vec_id"), "mst-nodes")
     edges = written(edges.select("src", "dst", "distance"), "mst-edges")
     comp = nodes.select("vec_id", F.col("vec_id").alias("comp"))
@@ -100,6 +127,6 @@ def flat_labels(place: dict[int, int], merges: list, n_clusters: int) -> list[tu
 
 def single_linkage(data: DataFrame, n_clusters: int, linkage: str = "knn_graph", c: int = 15, metric: str = "l2_sqrt_expanded", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(vec_id, label) and the dendrogram."""
-    tree = written(spanning_tree(data, distance_graph(data, linkage, c, metric, vector), metric, vector), "mst")
+    tree = written(spanning_tree(data, None if linkage == "pairwise" else distance_graph(data, linkage, c, metric, vector), metric, vector), "mst")
     frame, place, merges = dendrogram(tree, data.select("vec_id"))
     return data.sparkSession.createDataFrame(flat_labels(place, merges, n_clusters), "vec_id long, label int"), frame

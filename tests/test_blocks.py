@@ -78,6 +78,35 @@ def test_closest_pairs_of_components(spark, monkeypatch):
     assert near.count() == 7
 
 
+def kruskal(x):
+    d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
+    parent, out = list(range(len(x))), []
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for w, i, j in sorted((d[i, j], i, j) for i in range(len(x)) for j in range(i + 1, len(x))):
+        if find(i) != find(j):
+            parent[find(i)] = find(j)
+            out.append((i, j, w))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("links", [0, 500_000])
+def test_tree_of_all_pairs(spark, monkeypatch, links):
+    """With copies, and without an edge table of all pairs."""
+    monkeypatch.setattr(graph, "LINKS", links)
+    monkeypatch.setattr(linkage, "distance_graph", None)
+    x, data = vectors(spark, 60, 5)
+    got = sorted((r.src, r.dst, r.distance) for r in linkage.spanning_tree(data, None).collect())
+    want = kruskal(x)
+    assert [e[:2] for e in got] == [e[:2] for e in want] and [e[2] for e in got] == pytest.approx([e[2] for e in want], abs=1e-6)
+    labels, merges = linkage.single_linkage(data, 3, "pairwise")
+    assert labels.count() == 60 and [r.delta for r in merges.orderBy("merge_id").collect()] == pytest.approx(sorted(e[2] for e in want), abs=1e-6)
+
+
 def test_components_of_few_links_take_few_rounds(spark, monkeypatch):
     """A path of 300 rows, as links and by joins."""
     nodes = spark.range(302).withColumnRenamed("id", "vec_id")
