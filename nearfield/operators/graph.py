@@ -211,11 +211,9 @@ def search(data: DataFrame, edges: DataFrame, queries: DataFrame, k: int, itopk:
 
 
 def label_graphs(rows: DataFrame, degree: int) -> DataFrame:
-    """One optimised graph per label over rows (label, vec_id, v), by an equi-join on the label."""
+    """One optimised graph per label over rows (label, vec_id, v): blocks of a label's rows meet each other."""
     pairs = rows.dropDuplicates(["label", "vec_id"])
-    both = pairs.select("label", F.col("vec_id").alias("src"), F.col("v").alias("a")).join(pairs.select("label", F.col("vec_id").alias("dst"), F.col("v").alias("b")), "label").filter("src != dst")
-    both = both.select("label", "src", "dst", distance(F.col("a"), F.col("b"), "l2_expanded").alias("distance"))
-    lists = top_k(both, 2 * degree, ["label", "src"], id_="dst").select("label", "src", "rank", "dst", "distance")
+    lists = knn.lists_by_label(pairs, 2 * degree)
     return optimize(written(lists, "label-lists"), degree, ("label",))
 
 

@@ -160,3 +160,15 @@ def test_label_search_with_the_check(spark):
     index.shards = without_edges(index.shards)
     same = lambda rows: sorted((r.query_id, r["rank"], r.vec_id, round(r.distance, 9)) for r in rows.collect())
     assert same(index.search(asked, 6, 32)) != same(index.ground_truth(asked, 6)) == same(index.search(asked, 6, 32, exact=True))
+
+
+def test_label_lists_by_blocks(spark):
+    x, data = vectors(spark, 90, 5)
+    rows = data.select((F.col("vec_id") % 4).cast("int").alias("label"), "vec_id", F.col("embedding").alias("v"))
+    found = knn.lists_by_label(rows, 3)
+    assert "zip_with" not in plan(found) and dict(found.dtypes)["label"] == "int"
+    d = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2)
+    got = {(r.src, r["rank"]): r.dst for r in found.collect()}
+    for i in range(90):
+        want = sorted((d[i, j], j) for j in range(i % 4, 90, 4) if j != i)[:3]
+        assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in want]
