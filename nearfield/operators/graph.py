@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.metrics import distance, is_min_close
 from ..tables import small, written
 from . import knn
@@ -26,8 +27,8 @@ SEED = 20_011
 def nn_descent(data: DataFrame, k: int, intermediate: int | None = None, iterations: int = 20, termination: float = 1e-4, metric: str = "l2_expanded", vector: str = "embedding", sample: int | None = None, seed: int = 1234) -> DataFrame:
     """Approximate neighbour graph: lists start with rows of a few random buckets, then neighbours of neighbours compete.
 
-    Each round joins every list with its neighbours' lists, both directions; it ends when fewer than
-    ``termination`` of all list places change.
+    In each round the rows of every list, both directions, meet each other where the list's row is; it ends when
+    fewer than ``termination`` of all list places change.
     """
     wide = intermediate or max(2 * k, k + 8)
     rows = written(data.select("vec_id", F.col(vector).alias("v")), "descent-rows")
@@ -36,10 +37,6 @@ def nn_descent(data: DataFrame, k: int, intermediate: int | None = None, iterati
     if wide < 1:
         return rows.select(F.col("vec_id").alias("src"), F.lit(1).alias("rank"), F.col("vec_id").alias("dst"), F.lit(0.0).alias("distance")).limit(0)
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        near = pairs.filter("src != dst").distinct().join(rows.select(F.col("vec_id").alias("src"), F.col("v").alias("a")), "src").join(rows.select(F.col("vec_id").alias("dst"), F.col("v").alias("b")), "dst")
-        return near.select("src", "dst", distance(F.col("a"), F.col("b"), metric).alias("distance"))
-
     def best(edges: DataFrame, size: int) -> DataFrame:
         return top_k(edges, size, "src", id_="dst", select_min=is_min_close(metric)).select("src", "rank", "dst", "distance")
 
@@ -47,19 +44,20 @@ def nn_descent(data: DataFrame, k: int, intermediate: int | None = None, iterati
     starts = None
     for turn in range(2):
         bucket = F.pmod(F.xxhash64("vec_id", F.lit(seed + turn)), F.lit(max(1, n // (wide + 1))))
-        own = rows.select("vec_id", bucket.alias("bucket"))
-        pairs = own.join(own.select(F.col("vec_id").alias("dst"), "bucket"), "bucket").select(F.col("vec_id").alias("src"), "dst")
-        starts = pairs if starts is None else starts.union(pairs)
-    lists = written(best(scored(starts), wide), "descent-lists")
+        own = rows.select((2 * bucket + turn).alias("pivot"), "vec_id")
+        starts = own if starts is None else starts.union(own)
+    ends = rows.select("vec_id", "v", F.lit(None).cast("double").alias("bar"))
+    lists = written(best(_compete(starts, ends, wide, metric).dropDuplicates(["src", "dst"]), wide), "descent-lists")
     for _ in range(iterations):
         out = lists.select("src", "dst")
         around = out.union(out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
         limit = sample or wide
         order = Window.partitionBy("src").orderBy(F.xxhash64("dst", F.lit(seed)))
-        around = around.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * limit).drop("r")
-        hops = around.join(around.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        fresh = hops.distinct().join(out, ["src", "dst"], "left_anti")
-        new = written(best(lists.select("src", "dst", "distance").unionByName(scored(fresh)), wide), "descent-lists")
+        around = around.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= 2 * limit)
+        around = around.select(F.col("src").alias("pivot"), F.col("dst").alias("vec_id")).union(rows.select(F.col("vec_id").alias("pivot"), "vec_id"))
+        bars = lists.filter(F.col("rank") == wide).select(F.col("src").alias("vec_id"), F.col("distance").alias("bar"))
+        fresh = _compete(around, rows.join(bars, "vec_id", "left"), wide, metric)
+        new = written(best(lists.select("src", "dst", "distance").unionByName(fresh).dropDuplicates(["src", "dst"]), wide), "descent-lists")
         changed = new.select("src", "dst").join(out, ["src", "dst"], "left_anti").count()
         lists = new
         if changed <= termination * n * wide:
@@ -67,6 +65,68 @@ def nn_descent(data: DataFrame, k: int, intermediate: int | None = None, iterati
     return lists.filter(F.col("rank") <= k)
 
 
+def _compete(groups: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
+    """(src, dst, distance): the rows (vec_id) of each group (pivot) that are no farther from another than its bar; of each task at most k a row.
+
+    rows: (vec_id, v, bar), bar null where all rows are wanted. A group's rows are in one task; pairs may repeat in other tasks.
+    """
+    near = is_min_close(metric)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    members = groups.join(rows, "vec_id").select("pivot", F.col("vec_id").cast("long"), "v", F.col("bar").cast("double"))
+    members = members.repartition(parts, "pivot").sortWithinPartitions("pivot")
+
+    def cut(held):
+        src, dst, d = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((dst, d if near else -d, src))
+        src, dst, d = src[order], dst[order], d[order]
+        once = np.append(True, (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))[: len(src)]
+        return knn._cut((src[once], dst[once], d[once]), k, metric)
+
+    def run(batches):
+        held, size, rest = [], 0, None
+
+        def groups_of(table):
+            pivot = table.column(0).to_numpy()
+            heads = np.flatnonzero(np.append(True, pivot[1:] != pivot[:-1]))
+            return heads, np.append(heads[1:], len(pivot))
+
+        def met(ids, v, bar):
+            d = blocks.matrix(v, v, metric)
+            ok = ~np.isnan(d) & ((d <= bar[:, None]) if near else (d >= bar[:, None])) & (ids[:, None] != ids)
+            a, b = np.nonzero(ok)
+            return ids[a], ids[b], d[a, b]
+
+        for batch in batches_with_end(batches):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            table = table.combine_chunks()
+            heads, ends = groups_of(table)
+            done = len(heads) if batch is None else len(heads) - 1
+            if done:
+                ids, v = table.column(1).to_numpy(), knn._matrix(table.column(2))
+                bar = table.column(3).to_numpy(zero_copy_only=False)
+                bar = np.where(np.isnan(bar), np.inf if near else -np.inf, bar)
+            for x, y in zip(heads[:done].tolist(), ends[:done].tolist(), strict=True):
+                held.append(met(ids[x:y], v[x:y], bar[x:y]))
+                size += len(held[-1][0])
+                if size > 2_000_000:
+                    held = [cut(held)]
+                    size = len(held[0][0])
+            rest = None if batch is None else table.slice(heads[-1])
+        if held:
+            src, dst, d = cut(held)
+            for x in range(0, len(src), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 16)]) for c in (src, dst, d)], ["src", "dst", "distance"])
+
+    return members.mapInArrow(run, "src long, dst long, distance double")
+
+
+def batches_with_end(batches):
+    yield from batches
+    yield None
+
+
 def optimize(edges: DataFrame, degree: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """Prune to ``degree``: edges with the fewest two-hop detours through shorter edges stay, the first half of them for certain; free places go to reverse edges.
 

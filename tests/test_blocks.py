@@ -162,6 +162,20 @@ def test_label_search_with_the_check(spark):
     assert same(index.search(asked, 6, 32)) != same(index.ground_truth(asked, 6)) == same(index.search(asked, 6, 32, exact=True))
 
 
+def test_descent_carries_no_vectors_for_each_pair(spark):
+    x, data = vectors(spark, 400, 6)
+    near = graph.nn_descent(data, 5, 16)
+    assert "zip_with" not in plan(near) and near.columns == ["src", "rank", "dst", "distance"]
+    truth = knn.knn_graph(data, 5)
+    ids = lambda e: e.select(F.col("src").alias("query_id"), F.col("dst").alias("vec_id"), "distance")
+    assert stats.recall_with_ties(ids(near), ids(truth)).first()[0] > 0.95
+    rows = near.collect()
+    assert len({(r.src, r.dst) for r in rows}) == len(rows) == 2000 and all(r.src != r.dst for r in rows)
+    assert all(r.distance == pytest.approx(((x[r.src].astype(float) - x[r.dst].astype(float)) ** 2).sum()) for r in rows)
+    members = data.select(F.lit(1).alias("pivot"), "vec_id").limit(50)
+    assert "zip_with" not in plan(graph._compete(members, data.select("vec_id", F.col("embedding").alias("v"), F.lit(None).alias("bar")), 4, "l2_expanded"))
+
+
 def test_label_lists_by_blocks(spark):
     x, data = vectors(spark, 90, 5)
     rows = data.select((F.col("vec_id") % 4).cast("int").alias("label"), "vec_id", F.col("embedding").alias("v"))
