@@ -1,8 +1,9 @@
 """Spectral embedding and partitions of a weighted graph (src, dst, weight), both directions given.
 
 Eigenvectors come from repeated products of the graph with a few vectors. Small graphs (up to
-``DENSE`` nodes) are solved densely on the driver; larger ones by filtered subspace iteration until
-the residuals are small, each product a join of the edges with the vectors (n x components numbers).
+``DENSE`` nodes) are solved densely on the driver, and those with up to ``EDGES`` edges by filtered subspace
+iteration there (24 bytes an edge); larger ones by such an iteration in which each product is a join of the
+edges with the vectors (n x components numbers). Both end when the residuals are small.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..tables import written
 from . import kmeans
 
 DENSE = 3000
+EDGES = 2_000_000
 #: Residuals at the end, over the spectrum's bound (the reference's solver: 0.01), and products at most (the reference: 4,000).
 TOLERANCE, PRODUCTS = 1e-6, 4000
 _STATE = "vec_id long, d double, x array<double>, y array<double>"
@@ -43,7 +45,74 @@ def _solve(edges: DataFrame, nodes: DataFrame, k: int, kind: str) -> DataFrame:
             x = vectors[:, np.argsort(values)[:k]] * (half[:, None] if kind == "embedding" else 1)
         x = x * np.where(x[np.abs(x).argmax(0), np.arange(x.shape[1])] < 0, -1, 1)
         return spark.createDataFrame([(v, [float(y) for y in x[i]]) for v, i in place.items()], "vec_id long, x array<double>")
-    return _iterated(edges, nodes, n, k, kind)
+    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).groupBy("src", "dst").agg((F.sum("weight") / 2).alias("weight"))
+    both = written(both.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "weight"), "spectral-edges")
+    if both.count() <= EDGES:
+        return _local(both, nodes, k, kind)
+    return _iterated(both, nodes, n, k, kind)
+
+
+def leading(product, n: int, k: int, seed: int = 0) -> np.ndarray:
+    """The k leading vectors of a symmetric matrix, given as its product with a block of vectors, by subspace iteration with Chebyshev filters."""
+    r = np.random.default_rng(seed)
+    # a few Lanczos steps bound the spectrum from below and above
+    v, before, beta, alphas, betas = r.normal(size=(n, 1)), np.zeros((n, 1)), 0.0, [], []
+    v /= np.linalg.norm(v)
+    for _ in range(min(n, 20)):
+        w = product(v) - beta * before
+        alphas.append((w * v).sum())
+        w -= alphas[-1] * v
+        beta = np.linalg.norm(w)
+        betas.append(beta)
+        if beta < 1e-12:
+            break
+        before, v = v, w / beta
+    ends = np.linalg.eigvalsh(np.diag(alphas) + np.diag(betas[:-1], 1) + np.diag(betas[:-1], -1))
+    low, scale = ends[0] - beta, max(abs(ends[0]), abs(ends[-1])) + beta
+    x = np.linalg.qr(r.normal(size=(n, min(n, 2 * k + 4))))[0]
+    products = 0
+    while True:
+        y = product(x)
+        products += 1
+        ritz, turn = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
+        ritz, turn = ritz[::-1], turn[:, ::-1]
+        x, y = x @ turn, y @ turn
+        left = np.linalg.norm(y[:, :k] - x[:, :k] * ritz[:k], axis=0).max()
+        if left <= TOLERANCE * scale or x.shape[1] == n:
+            return x[:, :k]
+        if products >= PRODUCTS:
+            raise RuntimeError(f"residual {left:.1e} after {products} products")
+        low = min(low, ritz[-1] - 1e-3 * scale)
+        e, c = (ritz[-1] - low) / 2, (ritz[-1] + low) / 2
+        # scaled, so that the leading vector keeps its length
+        first = at = e / (ritz[0] - c)
+        old, x = x, (y - c * x) * (at / e)
+        for _ in range(49):
+            after = 1 / (2 / first - at)
+            old, x = x, (product(x) - c * x) * (2 * after / e) - at * after * old
+            at = after
+            products += 1
+        x = np.linalg.qr(x)[0]
+
+
+def _local(both: DataFrame, nodes: DataFrame, k: int, kind: str) -> DataFrame:
+    """As _iterated(), on the driver. both: (src, dst, weight), symmetric."""
+    ids = np.sort(nodes.select(F.col("vec_id").cast("long")).toArrow().column(0).to_numpy())
+    table = both.toArrow()
+    a, b = (np.searchsorted(ids, table.column(c).to_numpy()).astype(np.int32) for c in ("src", "dst"))
+    w, n = table.column("weight").to_numpy(), len(ids)
+    d = np.maximum(np.bincount(a, w, n), 1e-300)
+    if kind != "modularity":
+        w = w / np.sqrt(d[a] * d[b])
+
+    def product(x: np.ndarray) -> np.ndarray:
+        out = np.stack([np.bincount(a, w * x[b, j], n) for j in range(x.shape[1])], 1)
+        return out - d[:, None] * (d @ x / d.sum()) if kind == "modularity" else out
+
+    x = leading(product, n, k)
+    x = x / np.sqrt(d)[:, None] if kind == "embedding" else x
+    x = x * np.where(x[np.abs(x).argmax(0), np.arange(k)] < 0, -1, 1)
+    return both.sparkSession.createDataFrame(pa.table({"vec_id": ids, "x": pa.array(list(x), pa.list_(pa.float64()))}), "vec_id long, x array<double>")
 
 
 def _by_row(rows: DataFrame, f, schema: str) -> DataFrame:
@@ -62,14 +131,12 @@ def _arrays(batch, **columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(list(c), pa.list_(pa.float64())) for c in columns.values())], ["vec_id", "d", *columns])
 
 
-def _iterated(edges: DataFrame, nodes: DataFrame, n: int, k: int, kind: str) -> DataFrame:
-    """The same vectors by subspace iteration with Chebyshev filters, until the residuals are under ``TOLERANCE``.
+def _iterated(both: DataFrame, nodes: DataFrame, n: int, k: int, kind: str) -> DataFrame:
+    """The same vectors of a symmetric edge table by subspace iteration with Chebyshev filters, until the residuals are under ``TOLERANCE``.
 
     A filter damps the eigenvalues below the block's least Ritz value; its degree is such that the
     first vector grows by at most 1e4, so that the k x k matrices stay well conditioned.
     """
-    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).groupBy("src", "dst").agg((F.sum("weight") / 2).alias("weight"))
-    both = written(both, "spectral-edges")
     degree = both.groupBy(F.col("src").alias("vec_id")).agg(F.sum("weight").alias("d"))
     base = written(nodes.join(degree, "vec_id", "left").select("vec_id", F.greatest(F.coalesce("d", F.lit(0.0)), F.lit(1e-300)).alias("d")), "spectral-degrees")
     total, most, squares = base.agg(F.sum("d"), F.max("d"), F.sum(F.col("d") * F.col("d"))).first()

@@ -186,3 +186,20 @@ def test_label_lists_by_blocks(spark):
     for i in range(90):
         want = sorted((d[i, j], j) for j in range(i % 4, 90, 4) if j != i)[:3]
         assert [got[i, r] for r in (1, 2, 3)] == [j for _, j in want]
+
+
+@pytest.mark.parametrize("kind", ["modularity", "embedding"])
+def test_graphs_beyond_the_dense_size_need_no_joins(spark, monkeypatch, kind):
+    """A graph with a hub, whose degree is far above the spectrum's other end."""
+    r = np.random.default_rng(3)
+    pairs = [(i, j) for i in range(200) for j in range(i) if j == 0 or (i % 4 == j % 4 and r.random() < 0.3)]
+    edges = spark.createDataFrame([e for i, j in pairs for e in ((i, j, 1.0), (j, i, 1.0))], "src long, dst long, weight double").cache()
+    nodes = spark.range(200).withColumnRenamed("id", "vec_id")
+    solve = lambda: np.array([x.x for x in spectral._solve(edges, nodes, 3, kind).orderBy("vec_id").collect()])
+    want = solve()
+    monkeypatch.setattr(spectral, "DENSE", 0)
+    monkeypatch.setattr(spectral, "_iterated", None)
+    got = solve()
+    assert np.abs(np.linalg.svd(got.T @ got)[1] - np.linalg.svd(want.T @ want)[1]).max() < 1e-3 * (want**2).sum()
+    basis = np.linalg.qr(want)[0]
+    assert np.abs(got - basis @ (basis.T @ got)).max() < 1e-3 * np.abs(want).max()
