@@ -22,7 +22,7 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["cosine", "jaccard", "correlation", "kl_divergence", "l1", "linf", "l2_expanded", "l2_sqrt_unexpanded", "inner_product", "canberra", "lp", "hamming", "russellrao", "hellinger", "dice"])
+@pytest.mark.parametrize("name", ["cosine", "jaccard", "jensenshannon", "correlation", "kl_divergence", "l1", "linf", "l2_expanded", "l2_sqrt_unexpanded", "inner_product", "canberra", "lp", "hamming", "russellrao", "hellinger", "dice"])
 def test_matrix_of_distances(spark, monkeypatch, name):
     monkeypatch.setattr(blocks, "TILE", (3, 5))
     monkeypatch.setattr(knn, "BATCH", 7)
