@@ -17,7 +17,8 @@ Candidates share a chunk. The links found are exact, the components too:
    component a pair changes nothing); then, of the larger chunks, searched in blocks, each set's
    pairs with sets of other components, if they are more than a few only the closest.
 3. Last, chunks of which pairs weren't given are searched again, for all pairs that are still in
-   different components.
+   different components. Here the sets travel with the chunks: pairs are verified where they are found,
+   and of a run's links only those are given that join components (fewer than it has classes).
 
 In all steps only pairs that can be linked by the Hamming distance of their dense sketches are
 verified on the sets themselves.
@@ -335,10 +336,7 @@ def verified(pairs: DataFrame, sets: DataFrame, a: int, b: int) -> DataFrame:
         for batch in batches:
             keep = []
             for s, t in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([s, t]), kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(b * same >= a * (len(s) + len(t) - same))
+                keep.append(linked_sets(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64), a, b))
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["x", "y"])
 
@@ -379,11 +377,19 @@ def likely(pairs: DataFrame, known: DataFrame, a: int, b: int) -> DataFrame:
     return both.select("x", "y", "n_x", "n_y", "bits_x", "bits_y").mapInArrow(run, "x long, y long, apart double")
 
 
+def linked_sets(s: np.ndarray, t: np.ndarray, a: int, b: int) -> bool:
+    """Whether two sets (sorted hashes) have a Jaccard index of at least a/b."""
+    both = np.sort(np.concatenate([s, t]), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return b * same >= a * (len(s) + len(t) - same)
+
+
 def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: int | None) -> DataFrame:
     """(x, y, elem): pairs of classes that share a chunk, are in different components and can be linked by size and Hamming distance.
 
     few: a class outside a chunk's largest component that has more such partners gives the closest
-    one only, and a row with the chunk (elem) says that there are others. None: all pairs.
+    one only, and a row with the chunk (elem) says that there are others. None: all pairs are
+    verified here on the sets that ``known`` then has (hashes), and a run gives a link for each two components that it joins.
     open_chunks: (elem, cid, comp). A chunk with more than ``BLOCK`` classes is searched by size
     class, each with the one below it. What is still larger is cut into blocks; each pair of
     blocks is searched as one run of rows, whole runs in one task, many runs to a task.
@@ -397,7 +403,7 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
     rows = rows.join(small_side(materialize(sizes, "join-sizes")), ["elem", "step"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("elem", "step", "cid", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    rows = rows.join(known, "cid").select("elem", "step", "i", "j", "own", "cid", "comp", "n", "bits")
+    rows = rows.join(known, "cid").select("elem", "step", "i", "j", "own", "cid", "comp", "n", "bits", *(["hashes"] if few is None else []))
     rows = rows.repartition(4 * partitions(open_chunks.sparkSession), "elem", "step", "i", "j").sortWithinPartitions("elem", "step", "i", "j", "cid")
 
     def search(run: pa.Table, left: set):
@@ -414,6 +420,9 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
         after = np.arange(len(cid))
         step = run.column("step")[0].as_py()
         below = (cid & 127) < step  # these meet each other in the step below
+        if few is None:
+            comp = comp.copy()
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in run.column("hashes")]
         for r in np.flatnonzero(~largest):
             ok = (comp != comp[r]) & (n * b >= n[r] * a) & (n[r] * b >= n * a) & (largest | (after > r))
             if across:
@@ -432,6 +441,13 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
             if few is not None and len(near) > few:
                 near = near[far.argsort(kind="stable")[:1]]
                 left.add(run.column("elem")[0].as_py())
+            if few is None:
+                links = []
+                for t in near[far.argsort(kind="stable")].tolist():  # the closest first: what joins components spares the rest
+                    if comp[t] != comp[r] and linked_sets(sets[r], sets[t], a, b):
+                        comp[comp == comp[t]] = comp[r]
+                        links.append(t)
+                near = np.array(links, np.int64)
             if len(near):
                 yield np.minimum(cid[near], cid[r]), np.maximum(cid[near], cid[r])
 
@@ -483,11 +499,13 @@ def components_of(docs: DataFrame, key: str, text: str, k: int, threshold: tuple
     sketches = parts.filter("bits is not null").select("cid", "n", "bits").join(nodes, "cid", "left_semi").dropDuplicates(["cid"])
     sketches = materialize(sketches, "join-sketches")
 
+    def sets_for(ends: DataFrame) -> DataFrame:
+        return sets_of(rows, materialize(needed.join(small_side(ends), "cid", "left_semi"), "join-needed"), k, steps)
+
     def linked(pairs: DataFrame) -> DataFrame:
         """Those of the pairs that are linked: only the sets that occur in a pair are made and moved."""
         pairs = materialize(pairs.select("x", "y"), "join-pairs")
-        ends = pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct()
-        sets = sets_of(rows, materialize(needed.join(small_side(ends), "cid", "left_semi"), "join-needed"), k, steps)
+        sets = sets_for(pairs.select(F.col("x").alias("cid")).union(pairs.select("y")).distinct())
         return materialize(verified(pairs, sets, a, b), "join-linked")
 
     best = F.row_number().over(Window.partitionBy("y").orderBy("apart", "x"))
@@ -510,6 +528,10 @@ def components_of(docs: DataFrame, key: str, text: str, k: int, threshold: tuple
         placed = members.join(comp, "cid")
         mixed = placed.groupBy("elem").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("elem")
         open_ = materialize(placed.join(mixed, "elem", "left_semi"), "join-open")
+        if few is None:
+            sets = sets_for(open_.select("cid").distinct())
+            comp = joined(materialize(cross_pairs(open_, sketches.join(sets.select("cid", "hashes"), "cid"), a, b, None), "join-crossing"))
+            break
         crossing = materialize(cross_pairs(open_, sketches, a, b, few), "join-crossing")
         comp = joined(linked(crossing.filter("elem is null")))
         # only chunks with pairs that weren't given are searched again

@@ -145,3 +145,17 @@ def test_words_and_shingles():
     sets = list(parity_join.shingle_sets(*ta.buffers(pa.array(texts))))
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
     assert np.array_equal(sets[0], sets[1])
+
+
+@pytest.mark.parametrize("link", [True, False])
+def test_last_pairs_are_given_once_for_each_component(spark, link):
+    """A chunk of 200 classes whose dense sketches are equal: not every pair is given, whether they are linked or not."""
+    shared = list(range(1, 101))
+    sets = [np.array(sorted([h * 2**40 for h in shared] + [(i if link else 1000 * i + j) * 2**40 + 7 for j in range(1 if link else 60)]), np.uint64) for i in range(1, 201)]
+    sets = [np.unique(s) for s in sets]
+    steps = parity_join.size_steps(75, 100)
+    ids = [parity_join.class_id(s, steps) for s in sets]
+    known = spark.createDataFrame([(c, len(s), bytearray(64), bytearray(s.tobytes())) for c, s in zip(ids, sets, strict=True)], "cid long, n long, bits binary, hashes binary")
+    chunk = spark.createDataFrame([(5, c, c) for c in ids], "elem long, cid long, comp long")
+    got = [(r.x, r.y) for r in parity_join.cross_pairs(chunk, known, 75, 100, None).collect()]
+    assert len(got) == (199 if link else 0) and len(set(got)) == len(got)
