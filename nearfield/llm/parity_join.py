@@ -16,8 +16,8 @@ Candidates share a chunk. The links found are exact, the components too:
 2. The other pairs of step 1 are verified if their sets are in different components (inside a
    component a pair changes nothing); then, of the larger chunks, searched in blocks, each set's
    pairs with sets of other components, if they are more than a few only the closest.
-3. Last, chunks of which pairs weren't given are searched again, for all pairs that are still in
-   different components. Here the sets travel with the chunks: pairs are verified where they are found,
+3. Last, the members of chunks of which pairs weren't given are searched again, for all pairs that are
+   still in different components. Here their sets travel with them: pairs are verified where they are found,
    and of a run's links only those are given that join components (fewer than it has classes).
 
 In all steps only pairs that can be linked by the Hamming distance of their dense sketches are
@@ -388,7 +388,7 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
     """(x, y, elem): pairs of classes that share a chunk, are in different components and can be linked by size and Hamming distance.
 
     few: a class outside a chunk's largest component that has more such partners gives the closest
-    one only, and a row with the chunk (elem) says that there are others. None: all pairs are
+    one only; rows (elem, x) name it and its partners as members of the chunk that have to be searched again. None: all pairs are
     verified here on the sets that ``known`` then has (hashes), and a run gives a link for each two components that it joins.
     open_chunks: (elem, cid, comp). A chunk with more than ``BLOCK`` classes is searched by size
     class, each with the one below it. What is still larger is cut into blocks; each pair of
@@ -439,8 +439,8 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
                     far.append(d[fit] / (n[at[fit]] + n[r]))
             near, far = np.concatenate([np.zeros(0, np.int64), *near]), np.concatenate([np.zeros(0), *far])
             if few is not None and len(near) > few:
+                left.update((run.column("elem")[0].as_py(), c) for c in cid[[r, *near]].tolist())
                 near = near[far.argsort(kind="stable")[:1]]
-                left.add(run.column("elem")[0].as_py())
             if few is None:
                 links = []
                 for t in near[far.argsort(kind="stable")].tolist():  # the closest first: what joins components spares the rest
@@ -471,7 +471,8 @@ def cross_pairs(open_chunks: DataFrame, known: DataFrame, a: int, b: int, few: i
             x, y = (np.concatenate(c) for c in zip(*got, strict=True))
             both = np.unique(np.stack([x, y]), axis=1)
             n, m = both.shape[1], len(left)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(c), pa.nulls(m, pa.int64())]) for c in both] + [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(list(left), pa.int64())])], ["x", "y", "elem"])
+            elems, members = (pa.array([c[i] for c in left], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(both[0]), members]), pa.concat_arrays([pa.array(both[1]), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), elems])], ["x", "y", "elem"])
 
     return rows.mapInArrow(runs, "x long, y long, elem long").distinct()
 
@@ -534,8 +535,8 @@ def components_of(docs: DataFrame, key: str, text: str, k: int, threshold: tuple
             break
         crossing = materialize(cross_pairs(open_, sketches, a, b, few), "join-crossing")
         comp = joined(linked(crossing.filter("elem is null")))
-        # only chunks with pairs that weren't given are searched again
-        members = members.join(crossing.filter("elem is not null").select("elem").distinct(), "elem", "left_semi")
+        # only members of pairs that weren't given are searched again
+        members = crossing.filter("elem is not null").select("elem", F.col("x").alias("cid")).distinct()
     comp = comp.withColumnRenamed("comp", "root")
 
     # least key of each component, for classes that have more than one row or chunk
